@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,41 +42,42 @@ def _at(squares: Column, place) -> Column:
     return F.substr(squares, place if isinstance(place, Column) else F.lit(place), F.lit(1))
 
 
-def usual_fields(fen: Column) -> Column:
-    """The first four fields in their usual form, blank-separated; null for a null text or one that is no position.
+def with_usual(df: DataFrame, fen: str = "fen", name: str = "usual") -> DataFrame:
+    """Add the first four fields in their usual form, blank-separated; null for a null text or one that is no position.
 
     Runs of empty squares are one digit; the side is lower case; castling rights stand in the order KQkq, given as
     such or by the rook's usual file, and need king and rook on their home squares; the en passant square stays only
-    if the pawn that just moved is there and a pawn of the side to move stands beside it.
+    if the pawn that just moved is there and a pawn of the side to move stands beside it. Each intermediate value is
+    a column of its own, so that it is computed once.
     """
-    part = fields(fen)
-    grid = expanded(F.get(part, F.lit(0)))
-    side = F.lower(F.get(part, F.lit(1)))
-    rights = F.coalesce(F.get(part, F.lit(2)), F.lit("-"))
-    ep = F.lower(F.coalesce(F.get(part, F.lit(3)), F.lit("-")))
+    names = ("_part", "_grid", "_side", "_rights", "_ep", "_file", "_start")
+    t = df.withColumn("_part", fields(F.col(fen)))
+    t = t.withColumns(
+        {
+            "_grid": expanded(F.get("_part", F.lit(0))),
+            "_side": F.lower(F.get("_part", F.lit(1))),
+            "_rights": F.coalesce(F.get("_part", F.lit(2)), F.lit("-")),
+            "_ep": F.lower(F.coalesce(F.get("_part", F.lit(3)), F.lit("-"))),
+        }
+    )
+    t = t.withColumns({"_file": F.ascii("_ep") - 96, "_start": F.when(F.col("_side") == "w", 27).otherwise(36)})
+    grid, side, ep, file, start = (F.col(c) for c in ("_grid", "_side", "_ep", "_file", "_start"))
 
     def right(letters: str, king: int, rook: int, pieces: str, sign: str) -> Column:
-        on = rights.rlike(f"[{letters}]") & (_at(grid, king) == pieces[0]) & (_at(grid, rook) == pieces[1])
-        return F.when(on, F.lit(sign)).otherwise(F.lit(""))
+        given = F.contains(F.col("_rights"), F.lit(letters[0])) | F.contains(F.col("_rights"), F.lit(letters[1]))
+        return F.when(given & (_at(grid, king) == pieces[0]) & (_at(grid, rook) == pieces[1]), F.lit(sign)).otherwise(F.lit(""))
 
     castling = F.concat(
         right("KH", 68, 71, "KR", "K"), right("QA", 68, 64, "KR", "Q"), right("kh", 5, 8, "kr", "k"), right("qa", 5, 1, "kr", "q")
     )
-    file = F.ascii(ep) - 96
-    start = F.when(side == "w", F.lit(27)).otherwise(F.lit(36))  # the place before the pushed pawn's rank
+    # the pushed pawn's rank begins one place after _start; a slash before it and after it is no pawn
     pushed, own = F.when(side == "w", "p").otherwise("P"), F.when(side == "w", "P").otherwise("p")
-    beside = ((file > 1) & (_at(grid, start + file - 1) == own)) | ((file < 8) & (_at(grid, start + file + 1) == own))
-    counts = ep.rlike("^[a-h][36]$") & (F.substr(ep, F.lit(2), F.lit(1)) == F.when(side == "w", "6").otherwise("3"))
+    beside = (_at(grid, start + file - 1) == own) | (_at(grid, start + file + 1) == own)
+    counts = (ep != "-") & ep.rlike("^[a-h][36]$") & (F.substr(ep, F.lit(2), F.lit(1)) == F.when(side == "w", "6").otherwise("3"))
     counts = counts & (_at(grid, start + file) == pushed) & beside
-    text = F.concat_ws(
-        " ",
-        collapsed(grid),
-        side,
-        F.when(castling == "", "-").otherwise(castling),
-        F.when(counts, ep).otherwise(F.lit("-")),
-    )
-    legal = grid.rlike("^(?:[pnbrqkPNBRQK.]{8}/){7}[pnbrqkPNBRQK.]{8}$") & side.isin("w", "b")
-    return F.when(legal, text)
+    legal = (F.length(grid) == 71) & side.isin("w", "b") & grid.rlike("^(?:[pnbrqkPNBRQK.]{8}/){7}[pnbrqkPNBRQK.]{8}$")
+    text = F.concat_ws(" ", collapsed(grid), side, F.coalesce(F.nullif(castling, F.lit("")), F.lit("-")), F.when(counts, ep).otherwise(F.lit("-")))
+    return t.withColumn(name, F.when(legal, text)).drop(*names)
 
 
 def material(squares: Column, piece: str) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plyforge.functions.refs import stripped
+
 
 def digest64(text: str) -> int:
     """blake2b with eight bytes of output, big-endian, as signed 64-bit number."""
@@ -32,7 +34,7 @@ def parse_key(text: Column) -> Column:
     Digits only are decimal, signed or unsigned (leading zeros allowed); otherwise hexadecimal, with or without
     ``0x``, in either case. Outer blanks do not count. Values outside 64 bits are no keys.
     """
-    word = F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
+    word = stripped(text)
     decimal = F.when(word.rlike(r"^[+-]?0*\d{1,20}$"), word).cast("decimal(38,0)")
     top = F.lit("18446744073709551616").cast("decimal(38,0)")
     signed = F.when(decimal.between(F.lit("-9223372036854775808").cast("decimal(38,0)"), F.lit("9223372036854775807").cast("decimal(38,0)")), decimal)

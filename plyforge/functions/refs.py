@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 CATEGORIES = ("UltraBullet", "Bullet", "Blitz", "Rapid", "Classical", "Correspondence")
 CLOCK_BOUNDS = ((29, "UltraBullet"), (179, "Bullet"), (479, "Blitz"), (1499, "Rapid"))
 
-_BLANKS = r"^[\s\u00a0]+|[\s\u00a0]+$"
+#: Characters that count as blank at the ends of a value.
+BLANKS = " \t\n\x0b\f\r\u00a0"
 
 
 def stripped(col: Column) -> Column:
     """Without blanks of any kind at either end (``trim`` takes the space only)."""
-    return F.regexp_replace(col, _BLANKS, "")
+    return F.btrim(col, F.lit(BLANKS))
 
 
 def game_ref(col: Column) -> Column:

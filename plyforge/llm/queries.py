@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge import session
 from plyforge.functions import refs
-from plyforge.llm import linkage, seen_keys, splits, tables
+from plyforge.llm import linkage, proportions, quantiles, seen_keys, splits, tables
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,36 @@ def p2_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.split_records(records, _groups(spark, sf_dir), configs)
 
 
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proportions.report(tables.sampling_pool(spark, sf_dir), tables.read(spark, sf_dir, "sample_plans"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_report(spark, sf_dir).filter("short").select("stratum_id")
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = tables.sampling_pool(spark, sf_dir)
+    strata = session.cut(proportions.report(pool, tables.read(spark, sf_dir, "sample_plans")), "strata")
+    return proportions.draw(pool, strata)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.outside_bands(tables.measured(spark, sf_dir), tables.read(spark, sf_dir, "percentile_bands"), min_rows=120)
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["src_dump", "time_control"]
+    return quantiles.percentiles(quantiles.sketch(tables.measured(spark, sf_dir), keys, ["cp_white", "ply"]), keys, [10, 50, 90])
+
+
+def p4_all_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketches of the dumps, combined."""
+    by_dump = quantiles.sketch(tables.measured(spark, sf_dir), ["src_dump", "time_control"], ["cp_white", "ply"])
+    numbered = by_dump.withColumn("part", F.pmod(F.hash("src_dump"), F.lit(1 << 20)))
+    return quantiles.percentiles(quantiles.merged(numbered, ["time_control"]), ["time_control"], [10, 50, 90])
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(tables.accepted_records(spark, sf_dir), tables.arriving_records(spark, sf_dir)).found
 
@@ -42,7 +73,68 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_splits, p5_found, p5_clusters)
+    f.__name__: f
+    for f in (
+        p1_found, p1_rates, p2_found, p2_splits, p3_found, p3_report, p3_sample, p4_found, p4_percentiles, p4_all_dumps,
+        p5_found, p5_clusters,
+    )
+}
+
+_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+def _sql_ref(col: str) -> str:
+    pattern = r"^(?:(?:[A-Za-z]+://)?[^/\s]+/)?([A-Za-z0-9]{8})(?:/(?:white|black)?)?(?:[?#]\S*)?$"
+    return f"nullif(regexp_extract(trim({col}, {_BLANK}), '{pattern}', 1), '')"
+
+
+def _sql_category(col: str) -> str:
+    names = "".join(f" WHEN contains(lower({col}), '{c.lower()}') THEN '{c}'" for c in refs.CATEGORIES)
+    part = [f"try_cast(nullif(regexp_extract(trim({col}, {_BLANK}), '^(\\d{{1,9}})\\+(\\d{{1,9}})$', {k}), '') AS BIGINT)".replace("\\\\", "\\") for k in (1, 2)]
+    seconds = f"{part[0]} + 40 * {part[1]}"
+    bounds = "".join(f" WHEN {seconds} <= {b} THEN '{c}'" for b, c in refs.CLOCK_BOUNDS)
+    return f"CASE{names} WHEN trim({col}, {_BLANK}) = '-' THEN 'Correspondence'{bounds} WHEN {seconds} IS NOT NULL THEN 'Classical' ELSE 'Unknown' END"
+
+
+_SIDE = "lower(regexp_extract(fen, '^[\\s_]*[^\\s_]+[\\s_]+([^\\s_]+)', 1))"
+
+SQL: dict[str, str] = {
+    "p2_found": f"""
+        WITH RECURSIVE edge AS (
+            SELECT {_sql_ref("site")} AS a, {_sql_ref("copy_of")} AS b FROM games
+        ), tie AS (
+            SELECT DISTINCT * FROM (SELECT a, b FROM edge WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b
+                UNION ALL SELECT b, a FROM edge WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)
+        ), reach(a, b) AS (
+            SELECT a, a FROM tie UNION SELECT r.a, t.b FROM reach r JOIN tie t ON r.b = t.a
+        ), known AS (SELECT DISTINCT a AS id FROM edge WHERE a IS NOT NULL
+        ), grp AS (
+            SELECT r.a AS id, min(r.b) AS group_id FROM reach r JOIN known k ON r.b = k.id GROUP BY 1
+            UNION ALL SELECT id, id FROM known WHERE id NOT IN (SELECT a FROM tie)
+        ), said AS (
+            SELECT seed, {_sql_ref("game_id")} AS id, lower(trim(split, {_BLANK})) AS w FROM split_log
+        ), named AS (
+            SELECT seed, id, CASE WHEN w IN ('train', 'training', 'tr') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev')
+                THEN 'val' WHEN w IN ('test', 'testing', 'tst') THEN 'test' END AS split FROM said
+        )
+        SELECT seed, group_id FROM named JOIN grp USING (id) WHERE split IS NOT NULL AND seed IS NOT NULL
+        GROUP BY seed, group_id HAVING count(DISTINCT split) > 1""",
+    "p3_found": f"""
+        WITH pool AS (
+            SELECT src_dump, {_sql_category("time_control")} AS time_control,
+                coalesce(turn_white, CASE {_SIDE} WHEN 'w' THEN true WHEN 'b' THEN false END) AS turn_white FROM positions
+        ), n AS (SELECT src_dump, time_control, turn_white, count(*) AS c FROM pool WHERE turn_white IS NOT NULL GROUP BY ALL)
+        SELECT stratum_id FROM sample_plans LEFT JOIN n USING (src_dump, time_control, turn_white)
+        WHERE greatest(coalesce(min_rows, 0), coalesce(target_share, 0) * sample_rows) > coalesce(c, 0)""",
+    "p4_found": f"""
+        WITH v AS (
+            SELECT src_dump, {_sql_category("time_control")} AS time_control, 'cp_white' AS field, cp_white::INT AS x FROM positions
+            WHERE cp_white BETWEEN -2000 AND 2000
+            UNION ALL SELECT src_dump, {_sql_category("time_control")}, 'ply', ply::INT FROM positions WHERE ply >= 0
+        ), r AS (
+            SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY src_dump, time_control, field) AS n FROM v
+            WINDOW w AS (PARTITION BY src_dump, time_control, field ORDER BY x)
+        )
+        SELECT r.src_dump, r.time_control, r.field, b.pct::INT AS pct FROM r JOIN percentile_bands b USING (time_control, field)
+        WHERE n >= 120 AND k = greatest(1, -((-b.pct * n) // 100)) AND (x < b.low OR x > b.high)""",
 }
-
-SQL: dict[str, str] = {}

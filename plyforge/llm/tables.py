@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyforge.functions import keys, refs
+from plyforge.functions import board, keys, refs
 from plyforge.llm import linkage
 
 
@@ -61,3 +61,21 @@ def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arriving_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "arrivals").select("rec_id", "batch_no", "fen", "pos_key")
     return linkage.records(t, keys.parse_key(F.col("pos_key")), F.col("batch_no"))
+
+
+def sampling_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rec_id and signature of positions; the side to move is read from the position where the column is null."""
+    t = read(spark, sf_dir, "positions")
+    turn = F.coalesce("turn_white", F.when(F.col("turn_white").isNull(), board.side_to_move(F.col("fen"))))
+    return t.select("rec_id", "src_dump", refs.label_category(F.col("time_control")).alias("time_control"), turn.alias("turn_white"))
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src_dump, time_control, cp_white, ply of positions, null where the value does not count."""
+    t = read(spark, sf_dir, "positions")
+    return t.select(
+        "src_dump",
+        refs.label_category(F.col("time_control")).alias("time_control"),
+        F.when(F.col("cp_white").between(-2000, 2000), F.col("cp_white")).alias("cp_white"),
+        F.when(F.col("ply") >= 0, F.col("ply")).alias("ply"),
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plyforge import session
 from plyforge.functions import refs
-from plyforge.llm import linkage, proportions, quantiles, seen_keys, splits, tables
+from plyforge.llm import bpe, linkage, mixing, proportions, quantiles, seen_keys, splits, tables
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,31 @@ def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link(tables.accepted_records(spark, sf_dir), tables.arriving_records(spark, sf_dir)).clusters
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(tables.read(spark, sf_dir, "documents"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.sized_documents(spark, sf_dir)
+    planned = session.cut(mixing.plan(docs, tables.mix_targets(spark, sf_dir)), "mix-plan")
+    return mixing.report(planned, mixing.draw(docs, planned))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_report(spark, sf_dir).filter("short").select("target_id")
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.sized_documents(spark, sf_dir)
+    planned = session.cut(mixing.plan(docs, tables.mix_targets(spark, sf_dir)), "mix-plan")
+    return mixing.emitted(mixing.draw(docs, planned))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_rates, p2_found, p2_splits, p3_found, p3_report, p3_sample, p4_found, p4_percentiles, p4_all_dumps,
-        p5_found, p5_clusters,
+        p5_found, p5_clusters, p6_ids, p7_found, p7_report, p7_mix,
     )
 }
 

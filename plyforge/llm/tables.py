@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge import session
 from plyforge.functions import board, keys, refs
-from plyforge.llm import linkage
+from plyforge.llm import bpe, linkage
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,3 +80,14 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("cp_white").between(-2000, 2000), F.col("cp_white")).alias("cp_white"),
         F.when(F.col("ply") >= 0, F.col("ply")).alias("ply"),
     )
+
+
+def sized_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, src_dump, source, tokens of documents, cut so that the texts are encoded once."""
+    t = read(spark, sf_dir, "documents").withColumn("source", refs.source_name(F.col("source")))
+    return session.cut(bpe.count_tokens(t, ["doc_id", "src_dump", "source"]), "sized")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "mix_targets")
+    return t.select("target_id", "mix_id", "src_dump", refs.source_name(F.col("source_name")).alias("source"), "target_weight", "max_uses", "budget_tokens")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plyforge import session
 from plyforge.functions import refs
-from plyforge.llm import bpe, linkage, mixing, proportions, quantiles, seen_keys, splits, tables
+from plyforge.llm import bpe, language, linkage, mixing, proportions, quantiles, seen_keys, splits, tables
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,11 +92,22 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.emitted(mixing.draw(docs, planned))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.unnamed(docs, language.label_documents(docs))
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.label_documents(docs)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p1_rates, p2_found, p2_splits, p3_found, p3_report, p3_sample, p4_found, p4_percentiles, p4_all_dumps,
-        p5_found, p5_clusters, p6_ids, p7_found, p7_report, p7_mix,
+        p5_found, p5_clusters, p6_ids, p7_found, p7_report, p7_mix, p8_found,
+        p8_segments,
     )
 }
 

@@ -259,9 +259,10 @@ def unexpected_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT rec_id, greatest(-2000, least(2000, cp_white))::INT AS clipped, round(tanh(greatest(-2000, least(2000, cp_white)) / 400.0::DOUBLE), 12) AS value,
-    round(400 * atanh(greatest(-tanh(5.0::DOUBLE), least(tanh(5.0::DOUBLE), value_white::DOUBLE))), 6) AS cp_back FROM positions WHERE NOT coalesce(isnan(value_white), false)""")
+    round(400 * atanh(greatest(-tanh(5.0::DOUBLE), least(tanh(5.0::DOUBLE), value_white::DOUBLE))), 6) AS cp_back FROM positions
+    WHERE cp_white IS NOT NULL AND value_white IS NOT NULL AND NOT isnan(value_white)""")
 def values_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "positions").filter(~F.coalesce(F.isnan("value_white"), F.lit(False)))
+    p = _t(spark, sf_dir, "positions").filter("cp_white is not null and value_white is not null and not isnan(value_white)")
     return p.select(
         "rec_id",
         scoring.clip_cp(F.col("cp_white")).alias("clipped"),
@@ -271,7 +272,7 @@ def values_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT abs(cp_white - 400 * atanh(greatest(-tanh(5.0::DOUBLE), least(tanh(5.0::DOUBLE), value_white::DOUBLE)))) AS err FROM positions
-    WHERE cp_white BETWEEN -1500 AND 1500) SELECT round(max(err), 5) AS max_error, round(avg(err), 5) AS mean_error FROM e""")
+    WHERE cp_white BETWEEN -1500 AND 1500 AND value_white IS NOT NULL) SELECT round(max(err), 5) AS max_error, round(avg(err), 5) AS mean_error FROM e""")
 def reconstruction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "positions").filter(F.col("cp_white").between(-1500, 1500))
     return metrics.reconstruction(p, "cp_white", "value_white").select(F.round("max_error", 5).alias("max_error"), F.round("mean_error", 5).alias("mean_error"))

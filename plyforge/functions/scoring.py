@@ -13,9 +13,14 @@ MATE_CLAMP = 32000
 MATE, MATE_STEP, DRAW, LOSS = 2.0, 0.01, 0.0, -1.0
 
 
+def bounded(col: Column, top) -> Column:
+    """``col`` within +-top; null stays null (greatest and least alone would pass it over)."""
+    return F.when(col.isNotNull(), F.greatest(F.lit(-top), F.least(F.lit(top), col)))
+
+
 def clip_cp(cp: Column, clip: int = CLIP) -> Column:
     """Centipawns within the clip, cut to whole numbers towards zero."""
-    return F.greatest(F.lit(-clip), F.least(F.lit(clip), cp)).cast("int")
+    return bounded(cp, clip).cast("int")
 
 
 def cp_to_value(cp: Column, scale: float = SCALE, clip: int = CLIP) -> Column:
@@ -25,7 +30,7 @@ def cp_to_value(cp: Column, scale: float = SCALE, clip: int = CLIP) -> Column:
 def value_to_cp(value: Column, scale: float = SCALE, clip: int = CLIP) -> Column:
     """The reverse; values beyond what clipped centipawns reach count as the clip."""
     top = math.tanh(clip / scale)
-    return F.lit(scale) * F.atanh(F.greatest(F.lit(-top), F.least(F.lit(top), value.cast("double"))))
+    return F.lit(scale) * F.atanh(bounded(value.cast("double"), top))
 
 
 def score_cp(cp: Column, mate: Column, clip: int = CLIP) -> Column:
@@ -37,7 +42,7 @@ def label(cp_white: Column, mate_white: Column, turn_white: Column, scale: float
     """Struct of the label in both points of view; the side to move's is derived from White's."""
     white = score_cp(cp_white, mate_white, clip)
     stm = F.when(turn_white, white).otherwise(-white)
-    mate = F.coalesce(F.greatest(F.lit(-MATE_CLAMP), F.least(F.lit(MATE_CLAMP), mate_white)), F.lit(0)).cast("smallint")
+    mate = F.coalesce(bounded(mate_white, MATE_CLAMP), F.lit(0)).cast("smallint")
     return F.struct(
         white.alias("cp_white"),
         stm.alias("cp_stm"),

@@ -132,7 +132,7 @@ def attach(pending: DataFrame, scores: DataFrame, norm: NormalizationConfig | No
     # a mate in 0 is the side to move's loss: the sign is the score's, so it is taken before the side is turned
     cp = scoring.score_cp(F.col("cp"), F.col("mate"), norm.cp_clip) * sign
     label = scoring.label(cp, F.lit(None).cast("int"), F.col("turn_white"), norm.scale, norm.cp_clip)
-    mate = F.greatest(F.lit(-scoring.MATE_CLAMP), F.least(F.lit(scoring.MATE_CLAMP), F.col("mate") * sign))
+    mate = scoring.bounded(F.col("mate") * sign, scoring.MATE_CLAMP)
     return both.withColumn("_l", label).select(
         *pending.columns, "_l.cp_white", "_l.cp_stm", "_l.value_white", "_l.value_stm",
         F.col("mate").isNotNull().alias("is_mate"), F.coalesce(mate, F.lit(0)).cast("smallint").alias("mate_in"),

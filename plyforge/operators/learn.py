@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge.functions.scoring import bounded
 from plyforge.operators import metrics
 
 
@@ -45,7 +46,7 @@ def load(path: str) -> PipelineModel:
 
 
 def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    p = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction")))
+    p = bounded(F.col("prediction"), 1.0)
     return model.transform(rows).withColumn("prediction", p).drop("features")
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.functions.scoring import CLIP, SCALE, value_to_cp
+from plyforge.functions.scoring import CLIP, SCALE, bounded, value_to_cp
 
 DEADBAND = 0.05
 
@@ -34,6 +34,11 @@ def saturated_share(a: Column, threshold: float = 0.99) -> Column:
     return F.avg((F.abs(a) >= threshold).cast("int"))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation; null where a side is constant (``corr`` divides by zero then)."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def average_ranks(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     """Ranks with ties averaged, as ``rank_<col>``.
 
@@ -65,7 +70,7 @@ def evaluate(df: DataFrame, predicted: str, actual: str, by: list[str] | None =
         mae(p, a).alias("mae"),
         F.avg(F.abs(value_to_cp(p, scale, clip) - value_to_cp(a, scale, clip))).alias("mae_cp"),
         sign_agreement(p, a).alias("sign_agreement"),
-        F.when((F.stddev_pop("rank_p") > 0) & (F.stddev_pop("rank_a") > 0), F.corr("rank_p", "rank_a")).alias("spearman"),
+        correlation(F.col("rank_p"), F.col("rank_a")).alias("spearman"),
     )
 
 
@@ -88,7 +93,7 @@ def material_baseline(train: DataFrame, test: DataFrame, features: list[str], ta
     parts = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     fit = LinearRegression(solver="normal", labelCol=target, featuresCol="features").fit(parts.transform(train).filter(F.col(target).isNotNull()))
     guess = fit.transform(parts.transform(test).filter(F.col(target).isNotNull()))
-    p, a = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("prediction"))), F.col(target)
+    p, a = bounded(F.col("prediction"), 1.0), F.col(target)
     scores = guess.agg(rmse(p, a).alias("rmse"), mae(p, a).alias("mae"))
     return scores, [*fit.coefficients, fit.intercept]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.operators.metrics import correlation
+
 # Bands of the absolute value, and thresholds of depth.
 BANDS = ((0.0, 0.05), (0.05, 0.20), (0.20, 0.50), (0.50, 1.01))
 DEPTHS = (0, 12, 16, 20, 25, 30)
@@ -86,7 +88,7 @@ def label_convention(df: DataFrame, material: str, value: str, least: int = 3) -
     clear = F.abs(F.col(material)) >= least
     agree = F.when(clear, (F.signum(F.col(material)) == F.signum(F.col(value))).cast("int"))
     return df.groupBy("turn_white").agg(
-        F.count_if(clear).alias("n_clear"), F.avg(agree).alias("agreement"), F.corr(F.col(material).cast("double"), F.col(value).cast("double")).alias("correlation")
+        F.count_if(clear).alias("n_clear"), F.avg(agree).alias("agreement"), correlation(F.col(material).cast("double"), F.col(value).cast("double")).alias("correlation")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge.functions.scoring import bounded
+
 RECORD = "struct<fen:string,evals:array<struct<depth:int,pvs:array<struct<cp:int,mate:int>>>>>"
 
 
@@ -41,5 +43,5 @@ def quality(records: DataFrame) -> DataFrame:
 
 def target(cp: Column, mate: Column, turn_white: Column, clip: int = 2000, scale: float = 400.0) -> Column:
     """Side to move's bounded value of a White-view score."""
-    white = F.when(mate.isNotNull(), F.signum(mate.cast("double")) * clip).otherwise(F.greatest(F.lit(-clip), F.least(F.lit(clip), cp)))
+    white = F.when(mate.isNotNull(), F.signum(mate.cast("double")) * clip).otherwise(bounded(cp, clip))
     return F.tanh(F.when(turn_white, white).otherwise(-white) / F.lit(scale))

@@ -80,9 +80,9 @@ def r_squared(rmse_col: Column, floor: Column) -> Column:
 
 def mean_baseline(train: DataFrame, test: DataFrame, target: str) -> DataFrame:
     """One row: RMSE and MAE on ``test`` of predicting the mean of ``train``."""
-    mean = train.agg(F.avg(F.col(target).cast("double")).alias("_m"))
-    both = test.select(F.col(target).cast("double").alias("a")).crossJoin(F.broadcast(mean))  # one row: an aggregate
-    return both.agg(rmse(F.col("_m"), F.col("a")).alias("rmse"), mae(F.col("_m"), F.col("a")).alias("mae"))
+    mean = train.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    p, a = F.lit(mean).cast("double"), F.col(target).cast("double")
+    return test.agg(rmse(p, a).alias("rmse"), mae(p, a).alias("mae"))
 
 
 def material_baseline(train: DataFrame, test: DataFrame, features: list[str], target: str):

@@ -22,6 +22,11 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str, count: str, total: int
     return near.unionByName(far.select(near.columns))
 
 
+def bucket_count(rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
+    """Over how many buckets to spread ``rows`` so that none is large, even if one group has them all."""
+    return max(least, -(-rows // per_bucket))
+
+
 def numbered(df: DataFrame, groups: list[str], order: list[Column], buckets: int, salt: Column, name: str = "place") -> DataFrame:
     """Number the rows of each group from 0, in an order that is random by ``salt`` and fixed by ``order``.
 

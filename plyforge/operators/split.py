@@ -67,12 +67,22 @@ def nested_samples(df: DataFrame, key: str, volumes: list[int], seed: int) -> Da
     ranked only inside the slots where a volume ends.
     """
     h = F.xxhash64(F.lit(seed), F.col(key))
-    rows = df.withColumn("_h", h).withColumn("_slot", F.shiftright(h, 52))
+    rows = df.withColumn("_h", h).withColumn("_slot", F.shiftright(h, 48))
+    # 65,536 slots at most, whatever the number of rows
+    slots = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = rows.groupBy("_slot").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    inner = Window.partitionBy("_slot").orderBy("_h", key)
-    ranked = rows.join(F.broadcast(slots), "_slot").withColumn("_rank", F.col("_before") + F.row_number().over(inner))
-    out = F.lit(None).cast("bigint")
-    for v in sorted(volumes, reverse=True):
-        out = F.when(F.col("_rank") <= v, F.lit(v).cast("bigint")).otherwise(out)
-    return ranked.withColumn("volume", out).drop("_h", "_slot", "_n", "_before", "_rank").filter("volume is not null")
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+
+    def volume(rank: Column) -> Column:
+        out = F.lit(None).cast("bigint")
+        for v in sorted(volumes, reverse=True):
+            out = F.when(rank <= v, F.lit(v).cast("bigint")).otherwise(out)
+        return out
+
+    # a slot in which no volume ends lies in one sample as a whole
+    slots = slots.withColumn("_first", volume(F.col("_before") + 1)).withColumn("_last", volume(F.col("_before") + F.col("_n")))
+    placed = rows.join(F.broadcast(slots.filter("_first is not null")), "_slot")
+    whole = placed.filter("_first <=> _last").select(*df.columns, F.col("_first").alias("volume"))
+    rank = F.col("_before") + F.row_number().over(Window.partitionBy("_slot").orderBy("_h", key))
+    part = placed.filter("not (_first <=> _last)").withColumn("volume", volume(rank)).select(*df.columns, "volume")
+    return whole.unionByName(part).filter("volume is not null")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.operators.skew import numbered
+from plyforge.operators.skew import bucket_count, numbered
 
 POOL = ["src_dump", "source"]
 #: Largest table of targets that is broadcast to the documents.
@@ -30,7 +30,8 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     max_uses, budget_tokens. ``short`` says that wanted exceeds the cap times available.
     """
     have = docs.groupBy(*POOL).agg(F.sum("tokens").alias("available"))
-    t = targets.join(have, POOL, "left").withColumn("available", F.coalesce("available", F.lit(0)))
+    names = ["target_id", "mix_id", *POOL, "target_weight", "max_uses", "budget_tokens"]
+    t = targets.select(names).join(have, POOL, "left").withColumn("available", F.coalesce("available", F.lit(0)))
     weight = F.coalesce("target_weight", F.lit(0.0))
     whole = F.sum(weight).over(Window.partitionBy("mix_id"))
     wanted = F.coalesce(F.try_divide(weight, whole) * F.coalesce("budget_tokens", F.lit(0)), F.lit(0.0))
@@ -42,9 +43,10 @@ def plan(docs: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def draw(docs: DataFrame, planned: DataFrame, seed: int = 20260911, buckets: int = 64) -> DataFrame:
+def draw(docs: DataFrame, planned: DataFrame, seed: int = 20260911) -> DataFrame:
     """(mix_id, target_id, doc_id, tokens, copies): how often each document is used in each mix, where it is."""
-    used = docs.filter("tokens > 0 and src_dump is not null and source is not null")
+    used = docs.select("doc_id", *POOL, "tokens").filter("tokens > 0 and src_dump is not null and source is not null")
+    buckets = bucket_count(docs.count())
     salted = used.withColumn("_salt", F.xxhash64(F.lit(seed), "doc_id"))
     placed = numbered(salted, POOL, [F.col("_salt"), F.col("doc_id")], buckets, F.col("_salt")).drop("_salt")
     quota = planned.filter("rate > 0").select("mix_id", "target_id", *POOL, "rate")

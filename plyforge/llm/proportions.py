@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.operators.skew import bucket_count
+
 SIGNATURE = ["src_dump", "time_control", "turn_white"]
 #: Largest plan table that is broadcast to the rows; above it the join is an ordinary one.
 PLAN_ROWS = 100_000
@@ -86,15 +88,16 @@ def report(pool: DataFrame, plans: DataFrame) -> DataFrame:
     )
 
 
-def draw(pool: DataFrame, strata: DataFrame, seed: int = 20260911, fine: int = 1024) -> DataFrame:
+def draw(pool: DataFrame, strata: DataFrame, seed: int = 20260911) -> DataFrame:
     """(plan_id, stratum_id, rec_id): ``take`` random rows of each stratum of ``report``.
 
-    A row's hash puts it into one of ``fine`` slots of its stratum; slots are taken whole up to the one in which the
+    A row's hash puts it into one of the slots of its stratum (about 100,000 rows at most in each); slots are taken whole up to the one in which the
     quota ends, and only that one is ranked, so no task sees more than a slot of a stratum.
     """
     quota = strata.filter("take > 0").select("plan_id", "stratum_id", *SIGNATURE, "take")
+    fine = bucket_count(strata.agg(F.coalesce(F.max("available"), F.lit(0))).first()[0], least=1024)
     few = quota.limit(PLAN_ROWS + 1).count() <= PLAN_ROWS
-    rows = pool.dropna(subset=SIGNATURE).join(F.broadcast(quota) if few else quota, SIGNATURE)
+    rows = pool.select("rec_id", *SIGNATURE).dropna(subset=SIGNATURE).join(F.broadcast(quota) if few else quota, SIGNATURE)
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "stratum_id", "rec_id")).withColumn("_slot", F.pmod("_h", F.lit(fine)))
     slots = rows.groupBy("stratum_id", "take", "_slot").agg(F.count(F.lit(1)).alias("_size"))
     before = F.sum("_size").over(Window.partitionBy("stratum_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1))

@@ -222,7 +222,7 @@ def outside_bands(df: DataFrame, bands: DataFrame, min_rows: int, day: str = "sr
     value: Column = F.lit(None).cast("double")
     for f in fields:
         value = F.when(F.col("field") == f, F.col(f)).otherwise(value)
-    counted = df.join(F.broadcast(open_) if open_.limit(10_001).count() <= 10_000 else open_, keys).withColumn("_v", value)
+    counted = df.select(*keys, *fields).join(F.broadcast(open_) if open_.limit(10_001).count() <= 10_000 else open_, keys).withColumn("_v", value)
     counted = counted.groupBy(day, category, "field", "pct", "n", "low", "high").agg(
         F.count_if(F.col("_v") < F.col("low")).alias("below"), F.count_if(F.col("_v") <= F.col("high")).alias("upto")
     )

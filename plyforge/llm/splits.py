@@ -1,10 +1,9 @@
 """Splits that keep related records together.
 
 Entities (games) tied by links (copies) form groups (``union_find``); all records of a group get one split. Groups are
-assigned largest first, each to the split furthest below its target. The assignment is computed on sizes: groups that
-hold more than one record in ``LARGE`` are few and assigned one by one on the driver; of the others, all groups of one
-size are interchangeable, so only how many of them go to which split is computed, and which ones is drawn by a seeded
-hash. No group, link or record is collected.
+assigned largest first, each to the split furthest below its target. The assignment is computed on sizes: all groups
+of one size are interchangeable, so only how many of them go to which split is computed on the driver (n records have at
+most sqrt(2 n) different sizes), and which ones is drawn by a seeded hash. No group, link or record is collected.
 
 Nulls: a record that names no entity is a group by itself. Configurations with a null share count it as zero; shares
 are scaled to sum to one. Empty inputs give empty results.
@@ -17,11 +16,9 @@ from pyspark.sql import functions as F
 
 from plyforge import session
 from plyforge.llm.union_find import components
-from plyforge.operators.skew import hot_join, numbered
+from plyforge.operators.skew import bucket_count, hot_join, numbered
 
 SPLITS = ("train", "val", "test")
-#: Groups with more than a LARGE-th of all records are assigned singly; there are fewer than LARGE of them.
-LARGE = 2000
 
 
 def groups_of(links: DataFrame, entities: DataFrame) -> DataFrame:
@@ -65,11 +62,11 @@ def quotas(sizes: list[tuple[int, int]], shares: list[float]) -> list[tuple[int,
         left = n
         if left > 4 * len(shares):
             order = sorted(range(len(gap)), key=lambda k: -gap[k])
-            for used in range(len(order), 0, -1):  # the level to which the `used` largest gaps sink
-                level = (sum(gap[k] for k in order[:used]) - size * left) / used
-                if used == len(order) or level >= gap[order[used]] or gap[order[used - 1]] > level:
-                    if all(gap[k] >= level for k in order[:used]):
-                        break
+            used = len(order)
+            # the level to which the `used` largest gaps sink; a gap already below it takes no part
+            while used > 1 and gap[order[used - 1]] <= (sum(gap[k] for k in order[:used]) - size * left) / used:
+                used -= 1
+            level = (sum(gap[k] for k in order[:used]) - size * left) / used
             for k in order[:used]:
                 take = min(left, max(0, int((gap[k] - level) // size) - 1))
                 given[k] += take
@@ -83,12 +80,10 @@ def quotas(sizes: list[tuple[int, int]], shares: list[float]) -> list[tuple[int,
     return out
 
 
-def assign(group_sizes: DataFrame, configs: list[dict], buckets: int = 64) -> DataFrame:
+def assign(group_sizes: DataFrame, configs: list[dict]) -> DataFrame:
     """(seed, group_id, n, split) for each configuration (seed, train, val, test) and group (group_id, n)."""
     spark = group_sizes.sparkSession
     sized = session.cut(group_sizes.select("group_id", "n"), "group-sizes")
-    total = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # at most LARGE sizes above the bound, and at most total / LARGE below it; the histogram has a row for each size
     histogram = sorted(((r.n, r.c) for r in sized.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     rows = []
     for config in configs:
@@ -99,8 +94,9 @@ def assign(group_sizes: DataFrame, configs: list[dict], buckets: int = 64) -> Da
                     rows.append((config["seed"], size, start[size], start[size] + count, split))
                     start[size] += count
     plan = spark.createDataFrame(rows, "seed bigint, n bigint, low bigint, high bigint, split string")
-    seeds = spark.createDataFrame([(c["seed"],) for c in configs], "seed bigint")
-    drawn = sized.crossJoin(F.broadcast(seeds)).withColumn("salt", F.xxhash64("seed", "group_id"))
+    seeds = F.array(*[F.lit(c["seed"]).cast("bigint") for c in configs])
+    drawn = sized.withColumn("seed", F.explode(seeds)).withColumn("salt", F.xxhash64("seed", "group_id"))
+    buckets = bucket_count(sum(c for _, c in histogram))
     ranked = numbered(drawn, ["seed", "n"], [F.col("salt"), F.col("group_id")], buckets, F.col("salt"))
     on = (ranked.seed == plan.seed) & (ranked.n == plan.n) & (ranked.place >= plan.low) & (ranked.place < plan.high)
     return ranked.join(F.broadcast(plan), on).select(ranked.seed, "group_id", ranked.n, "split")

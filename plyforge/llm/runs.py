@@ -52,7 +52,7 @@ class RunReader:
                 self.fences.append((file, g, stats.min if known else -(1 << 31), stats.max if known else (1 << 31) - 1))
         self.block, self.hashes, self.rows = -1, None, None
 
-    def match(self, h: np.ndarray, key: np.ndarray, hit: np.ndarray) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    def match(self, h: np.ndarray, key: np.ndarray, hit: np.ndarray) -> Iterator[tuple[np.ndarray, pa.Table]]:
         """For the probes (h sorted): set ``hit`` where a hash is stored; yield (probe, stored rows) of equal keys."""
         for n, (file, g, low, high) in enumerate(self.fences):
             a, b = np.searchsorted(h, low, "left"), np.searchsorted(h, high, "right")
@@ -104,12 +104,10 @@ def _prober(runs: list[str], bits: int, payload: list[str], out: pa.Schema):
             order = pa.array(np.concatenate([matched, rest]))
             columns = [batch.column(n).take(order) for n in kept]
             columns += [pa.array(hit).take(order), pa.array(np.arange(len(order)) < len(matched))]
-            table = pa.concat_tables(stored) if stored else None
             for p in payload:
                 kind = out.field(f"old_{p}").type
-                have = table.column(p).cast(kind).combine_chunks() if table is not None else pa.array([], kind)
-                have = have.combine_chunks() if isinstance(have, pa.ChunkedArray) else have
-                columns.append(pa.concat_arrays([have, pa.nulls(len(rest), kind)]))
+                have = [chunk.cast(kind) for rows in stored for chunk in rows.column(p).chunks]
+                columns.append(pa.concat_arrays([*have, pa.nulls(len(rest), kind)]))
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, "hit", "found", *(f"old_{p}" for p in payload)])
 
     return probe

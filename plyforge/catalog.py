@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge import session
 from plyforge.config import SplitConfig
 from plyforge.functions import board, keys, refs, scoring
 from plyforge.operators import encode, ingest, match, metrics, profile, search, split, validate
@@ -232,7 +233,7 @@ _BALANCE = " + ".join(f"{w} * (({_COUNT.format(p)}) - ({_COUNT.format(p.lower())
 def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions written with single blanks, with White's material balance."""
     p = _t(spark, sf_dir, "positions").filter(F.col("fen").rlike(r"^[^\s_]+ [^\s_]+ "))
-    return p.withColumn("balance", board.material_balance(board.squares64(F.col("fen"))))
+    return p.withColumn("_pieces", board.placement(F.col("fen"))).withColumn("balance", board.material_balance(F.col("_pieces"))).drop("_pieces")
 
 
 @query(f"""WITH p AS (SELECT *, {_BALANCE} AS balance FROM positions WHERE regexp_matches(fen, '^[^[:space:]_]+ [^[:space:]_]+ '))
@@ -395,7 +396,7 @@ def material_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def encoded_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All positions as planes, checked (the en passant plane needs the rules)."""
-    p = _t(spark, sf_dir, "positions").select(encode.encoded(F.col("fen")).alias("planes"))
+    p = session.spread(_t(spark, sf_dir, "positions").select("fen")).select(encode.encoded(F.col("fen")).alias("planes"))
     return encode.encoding_sanity(p)
 
 

@@ -33,6 +33,11 @@ def collapsed(squares: Column) -> Column:
     return out
 
 
+def placement(fen: Column) -> Column:
+    """The first field: the pieces, rank by rank."""
+    return F.get(fields(fen), F.lit(0))
+
+
 def squares64(fen: Column) -> Column:
     """The 64 squares from a8 to h1 as one string, dots for empty."""
     return F.replace(expanded(F.get(fields(fen), F.lit(0))), F.lit("/"), F.lit(""))
@@ -81,7 +86,7 @@ def with_usual(df: DataFrame, fen: str = "fen", name: str = "usual") -> DataFram
 
 
 def material(squares: Column, piece: str) -> Column:
-    """How many of one piece letter stand on the board."""
+    """How many of one piece letter stand on the board (64 squares or a placement; best a column of its own)."""
     return F.length(squares) - F.length(F.replace(squares, F.lit(piece), F.lit("")))
 
 

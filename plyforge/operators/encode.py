@@ -63,12 +63,12 @@ def mirrored(squares: Column) -> Column:
 
 def material_features(df: DataFrame, fen: str = "fen") -> DataFrame:
     """Add own minus opponent's count of each piece type, ``d_pawn`` to ``d_king``, JVM-side; null for no side to move."""
-    t = df.withColumn("_squares", board.squares64(F.col(fen))).withColumn("_own", F.when(board.side_to_move(F.col(fen)), 1).otherwise(-1))
-    known = board.side_to_move(F.col(fen)).isNotNull()
+    side = board.side_to_move(F.col(fen))
+    t = df.withColumn("_squares", board.placement(F.col(fen))).withColumn("_own", F.when(side, 1).when(~side, -1))
     cols = {}
     for piece, letter in zip(PIECES, "PNBRQK"):
         diff = board.material(F.col("_squares"), letter) - board.material(F.col("_squares"), letter.lower())
-        cols[f"d_{piece}"] = F.when(known, F.col("_own") * diff)
+        cols[f"d_{piece}"] = F.col("_own") * diff
     return t.withColumns(cols).drop("_squares", "_own")
 
 

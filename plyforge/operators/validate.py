@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge import session
 from plyforge.config import DatasetConfig
 from plyforge.functions import rules
 from plyforge.sources.shards import SCHEMA
@@ -58,7 +59,7 @@ def check_rows(dataset: DataFrame, cfg: DatasetConfig | None = None) -> DataFram
 
 def legality(dataset: DataFrame, fen: str = "fen") -> DataFrame:
     """One row: positions checked, unparseable and terminal ones. Every row is checked, none sampled."""
-    state = dataset.select(rules.status(F.col(fen)).alias("s"))
+    state = session.spread(dataset.select(fen)).select(rules.status(F.col(fen)).alias("s"))
     return state.agg(
         F.count(F.lit(1)).alias("checked"),
         F.count_if(F.col("s").isNull() | (F.col("s") == "unparseable")).alias("unparseable"),

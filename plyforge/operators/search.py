@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,3 +167,43 @@ def play(pairings: DataFrame, engine: Scorer, opponent: Scorer, max_plies: int =
             yield pd.DataFrame(out, columns=["opening_id", "engine_white", "score", "plies", "outcome", "termination"])
 
     return pairings.select("opening_id", "fen", "engine_white").repartition(pairings.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, GAME)
+
+
+def mate_in_one(df: DataFrame, fen: str = "fen") -> DataFrame:
+    """Add ``mates``: whether the side to move mates at once, and ``mated``: whether any move lets the other side do so."""
+
+    def mates(at: rules.Position) -> bool:
+        return any(at.play(m).status() == "checkmate" for m in at.legal())
+
+    out = T.StructType([*df.schema.fields, T.StructField("mates", T.BooleanType()), T.StructField("mated", T.BooleanType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            got = []
+            for text in batch[fen]:
+                try:
+                    at = rules.Position.read(text)
+                    moves = list(at.legal())
+                    got.append((mates(at), bool(moves) and all(mates(at.play(m)) for m in moves)))
+                except (ValueError, AttributeError):
+                    got.append((None, None))
+            yield batch.assign(mates=[g[0] for g in got], mated=[g[1] for g in got])
+
+    return df.mapInPandas(run, out)
+
+
+def verdict(gap: Column) -> Column:
+    """How far two values of one position lie apart, in words."""
+    return F.when(F.abs(gap) < 0.10, "close").when(F.abs(gap) < 0.30, "apart").when(gap.isNotNull(), "far apart")
+
+
+def panel(positions: DataFrame, scorers: dict[str, Scorer], reference: str) -> DataFrame:
+    """(root, model, move, value, same, gap, verdict): each model's choice at each position against the reference's."""
+    out = None
+    for name, scorer in scorers.items():
+        best = best_moves(positions, scorer).select("root", F.lit(name).alias("model"), "move", "value")
+        out = best if out is None else out.unionByName(best)
+    out = session.cut(out, "panel")
+    ref = out.filter(F.col("model") == reference).select("root", F.col("move").alias("_move"), F.col("value").alias("_value"))
+    both = out.join(ref, "root", "left").withColumn("gap", F.col("value") - F.col("_value")).withColumn("same", F.col("move") == F.col("_move"))
+    return both.select("root", "model", "move", "value", "same", "gap", verdict(F.col("gap")).alias("verdict"))

@@ -45,3 +45,31 @@ def target(cp: Column, mate: Column, turn_white: Column, clip: int = 2000, scale
     """Side to move's bounded value of a White-view score."""
     white = F.when(mate.isNotNull(), F.signum(mate.cast("double")) * clip).otherwise(bounded(cp, clip))
     return F.tanh(F.when(turn_white, white).otherwise(-white) / F.lit(scale))
+
+
+def frequencies(records: DataFrame) -> DataFrame:
+    """(what, value, n): how often each depth, number of evaluations, number of lines and number of fields occurs, in one pass."""
+    best = deepest(F.col("record.evals"))
+    parts = {
+        "depth": best["depth"], "evals": F.size("record.evals"), "lines": F.size(best["pvs"]), "fields": F.size(F.split("record.fen", " ")),
+    }
+    rows = F.array(*[F.struct(F.lit(k).alias("what"), v.alias("value")) for k, v in parts.items()])
+    return records.filter("record is not null").select(F.inline(rows)).groupBy("what", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def looks_like_evals(spark: SparkSession, line: str) -> bool:
+    """Whether a line of JSON has the shape of an evaluation record."""
+    return parse(spark.createDataFrame([(line,)], "value string")).filter("record is not null").count() == 1
+
+
+def write(flat_rows: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    flat_rows.write.option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").parquet(path)
+
+
+def projection(quality_row: DataFrame, accepted: DataFrame, targets: list[int]) -> DataFrame:
+    """(target, lines, bytes): what must be read for each target number of rows, at the yield of what was read."""
+    yields = quality_row.withColumn("accepted", F.lit(accepted.count()).cast("double"))
+    per = F.explode(F.array(*[F.lit(t).cast("bigint") for t in targets])).alias("target")
+    t = yields.select(per, "lines", "bytes", "accepted")
+    need = F.try_divide(F.col("target"), F.col("accepted"))
+    return t.select("target", F.ceil(need * F.col("lines")).alias("lines"), F.ceil(need * F.col("bytes")).alias("bytes"))

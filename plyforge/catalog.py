@@ -420,7 +420,7 @@ def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_GAMES} SELECT opponent_elo, count(*) AS n, count(*) FILTER (WHERE score = 1) AS won, count(*) FILTER (WHERE score = 0.5) AS drawn,
     count(*) FILTER (WHERE score = 0) AS lost, count(*) FILTER (WHERE termination IN ('max_plies', 'interrupted')) AS unfinished, round(avg(score), 9) AS score_rate,
     round(stddev_samp(score) / sqrt(count(*)), 9) AS margin, round(avg(plies), 6) AS mean_plies,
-    round(CASE WHEN avg(score) >= 1 THEN 'inf'::DOUBLE WHEN avg(score) <= 0 THEN '-inf'::DOUBLE ELSE -400 * log10(1 / avg(score) - 1) END, 6) AS elo_difference FROM m GROUP BY 1""")
+    round(CASE WHEN avg(score) >= 1 THEN 'inf'::DOUBLE WHEN avg(score) <= 0 THEN '-inf'::DOUBLE ELSE 400 * log10(avg(score) / (1 - avg(score))) END, 6) AS elo_difference FROM m GROUP BY 1""")
 def match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {"score_rate": 9, "margin": 9, "mean_plies": 6, "elo_difference": 6}
     return match.match_stats(_match(spark, sf_dir), ["opponent_elo"]).withColumns({c: F.round(c, n) for c, n in places.items()})

@@ -27,7 +27,7 @@ def match_stats(games: DataFrame, by: list[str]) -> DataFrame:
         F.avg("plies").alias("mean_plies"),
     )
     r = F.col("score_rate")
-    diff = F.when(r >= 1, F.lit(float("inf"))).when(r <= 0, F.lit(float("-inf"))).when(r.isNotNull(), -400 * F.log10(1 / r - 1))
+    diff = F.when(r >= 1, F.lit(float("inf"))).when(r <= 0, F.lit(float("-inf"))).when(r.isNotNull(), 400 * F.log10(r / (1 - r)))
     return stats.withColumn("elo_difference", diff)
 
 

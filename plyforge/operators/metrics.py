@@ -36,8 +36,10 @@ def saturated_share(a: Column, threshold: float = 0.99) -> Column:
 
 
 def correlation(x: Column, y: Column) -> Column:
-    """Pearson correlation; null where a side is constant (``corr`` divides by zero then)."""
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    """Pearson correlation of rows with both values; null where a side is constant (``corr`` divides by zero then)."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
 
 
 def average_ranks(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:

@@ -37,23 +37,23 @@ def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "positions").select(*SCHEMA.names)
 
 
-_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+SQL_BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
 
 
 def sql_ref(col: str) -> str:
     pattern = r"^(?:(?:[A-Za-z]+://)?[^/\s]+/)?([A-Za-z0-9]{8})(?:/(?:white|black)?)?(?:[?#]\S*)?$"
-    return f"nullif(regexp_extract(trim({col}, {_BLANK}), '{pattern}', 1), '')"
+    return f"nullif(regexp_extract(trim({col}, {SQL_BLANKS}), '{pattern}', 1), '')"
 
 
 def sql_clock(col: str) -> str:
-    part = [f"try_cast(nullif(regexp_extract(trim({col}, {_BLANK}), '^([0-9]{{1,9}})[+]([0-9]{{1,9}})$', {k}), '') AS BIGINT)" for k in (1, 2)]
+    part = [f"try_cast(nullif(regexp_extract(trim({col}, {SQL_BLANKS}), '^([0-9]{{1,9}})[+]([0-9]{{1,9}})$', {k}), '') AS BIGINT)" for k in (1, 2)]
     seconds = f"({part[0]} + 40 * {part[1]})"
     bounds = "".join(f" WHEN {seconds} <= {b} THEN '{c}'" for b, c in refs.CLOCK_BOUNDS)
-    return f"CASE WHEN trim({col}, {_BLANK}) = '-' THEN 'Correspondence'{bounds} WHEN {seconds} IS NOT NULL THEN 'Classical' END"
+    return f"CASE WHEN trim({col}, {SQL_BLANKS}) = '-' THEN 'Correspondence'{bounds} WHEN {seconds} IS NOT NULL THEN 'Classical' END"
 
 
 def sql_elo(col: str) -> str:
-    return f"CASE WHEN regexp_full_match(trim({col}, {_BLANK}), '[+-]?[0-9]{{1,9}}') THEN try_cast(trim({col}, {_BLANK}) AS INT) END"
+    return f"CASE WHEN regexp_full_match(trim({col}, {SQL_BLANKS}), '[+-]?[0-9]{{1,9}}') THEN try_cast(trim({col}, {SQL_BLANKS}) AS INT) END"
 
 
 def sql_category(col: str) -> str:
@@ -306,7 +306,7 @@ def keyed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.describe_split(_games(spark, sf_dir).withColumn("split", split.keyed_split(F.col("game_id"), SplitConfig())))
 
 
-@query(f"""WITH s AS (SELECT {sql_ref('game_id')} AS game_id, lower(trim(split, {_BLANK})) AS w FROM split_log WHERE seed = 417),
+@query(f"""WITH s AS (SELECT {sql_ref('game_id')} AS game_id, lower(trim(split, {SQL_BLANKS})) AS w FROM split_log WHERE seed = 417),
     n AS (SELECT game_id, CASE WHEN w IN ('train', 'training', 'tr') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN w IN ('test', 'testing', 'tst') THEN 'test' END AS split FROM s)
     SELECT game_id FROM n WHERE split IS NOT NULL AND game_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1""")
 def leaked_games(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +403,7 @@ def encoded_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Matches ----------------------------------------------------------------------------------------------------------
 
 _GAMES = f"""WITH g AS (SELECT {sql_elo("white_elo")} AS w, {sql_elo("black_elo")} AS b, plies, termination,
-    CASE trim(result, {_BLANK}) WHEN '1-0' THEN 1.0::DOUBLE WHEN '0-1' THEN 0.0 WHEN '1/2-1/2' THEN 0.5 END AS score FROM games),
+    CASE trim(result, {SQL_BLANKS}) WHEN '1-0' THEN 1.0::DOUBLE WHEN '0-1' THEN 0.0 WHEN '1/2-1/2' THEN 0.5 END AS score FROM games),
     m AS (SELECT (b // 100 * 100)::INT AS opponent_elo, score, plies, termination FROM g WHERE w BETWEEN 2000 AND 3200 AND b BETWEEN 2000 AND 3200 AND score IS NOT NULL)"""
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge import session
+from plyforge.catalog import SQL_BLANKS, sql_category, sql_ref
 from plyforge.functions import refs
 from plyforge.llm import bpe, language, linkage, mixing, proportions, quantiles, seen_keys, splits, tables
 
@@ -111,28 +112,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-_BLANK = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
-
-
-def _sql_ref(col: str) -> str:
-    pattern = r"^(?:(?:[A-Za-z]+://)?[^/\s]+/)?([A-Za-z0-9]{8})(?:/(?:white|black)?)?(?:[?#]\S*)?$"
-    return f"nullif(regexp_extract(trim({col}, {_BLANK}), '{pattern}', 1), '')"
-
-
-def _sql_category(col: str) -> str:
-    names = "".join(f" WHEN contains(lower({col}), '{c.lower()}') THEN '{c}'" for c in refs.CATEGORIES)
-    part = [f"try_cast(nullif(regexp_extract(trim({col}, {_BLANK}), '^(\\d{{1,9}})\\+(\\d{{1,9}})$', {k}), '') AS BIGINT)".replace("\\\\", "\\") for k in (1, 2)]
-    seconds = f"{part[0]} + 40 * {part[1]}"
-    bounds = "".join(f" WHEN {seconds} <= {b} THEN '{c}'" for b, c in refs.CLOCK_BOUNDS)
-    return f"CASE{names} WHEN trim({col}, {_BLANK}) = '-' THEN 'Correspondence'{bounds} WHEN {seconds} IS NOT NULL THEN 'Classical' ELSE 'Unknown' END"
-
-
 _SIDE = "lower(regexp_extract(fen, '^[\\s_]*[^\\s_]+[\\s_]+([^\\s_]+)', 1))"
 
 SQL: dict[str, str] = {
     "p2_found": f"""
         WITH RECURSIVE edge AS (
-            SELECT {_sql_ref("site")} AS a, {_sql_ref("copy_of")} AS b FROM games
+            SELECT {sql_ref("site")} AS a, {sql_ref("copy_of")} AS b FROM games
         ), tie AS (
             SELECT DISTINCT * FROM (SELECT a, b FROM edge WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b
                 UNION ALL SELECT b, a FROM edge WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b)
@@ -143,7 +128,7 @@ SQL: dict[str, str] = {
             SELECT r.a AS id, min(r.b) AS group_id FROM reach r JOIN known k ON r.b = k.id GROUP BY 1
             UNION ALL SELECT id, id FROM known WHERE id NOT IN (SELECT a FROM tie)
         ), said AS (
-            SELECT seed, {_sql_ref("game_id")} AS id, lower(trim(split, {_BLANK})) AS w FROM split_log
+            SELECT seed, {sql_ref("game_id")} AS id, lower(trim(split, {SQL_BLANKS})) AS w FROM split_log
         ), named AS (
             SELECT seed, id, CASE WHEN w IN ('train', 'training', 'tr') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev')
                 THEN 'val' WHEN w IN ('test', 'testing', 'tst') THEN 'test' END AS split FROM said
@@ -152,16 +137,16 @@ SQL: dict[str, str] = {
         GROUP BY seed, group_id HAVING count(DISTINCT split) > 1""",
     "p3_found": f"""
         WITH pool AS (
-            SELECT src_dump, {_sql_category("time_control")} AS time_control,
+            SELECT src_dump, {sql_category("time_control")} AS time_control,
                 coalesce(turn_white, CASE {_SIDE} WHEN 'w' THEN true WHEN 'b' THEN false END) AS turn_white FROM positions
         ), n AS (SELECT src_dump, time_control, turn_white, count(*) AS c FROM pool WHERE turn_white IS NOT NULL GROUP BY ALL)
         SELECT stratum_id FROM sample_plans LEFT JOIN n USING (src_dump, time_control, turn_white)
         WHERE greatest(coalesce(min_rows, 0), coalesce(target_share, 0) * sample_rows) > coalesce(c, 0)""",
     "p4_found": f"""
         WITH v AS (
-            SELECT src_dump, {_sql_category("time_control")} AS time_control, 'cp_white' AS field, cp_white::INT AS x FROM positions
+            SELECT src_dump, {sql_category("time_control")} AS time_control, 'cp_white' AS field, cp_white::INT AS x FROM positions
             WHERE cp_white BETWEEN -2000 AND 2000
-            UNION ALL SELECT src_dump, {_sql_category("time_control")}, 'ply', ply::INT FROM positions WHERE ply >= 0
+            UNION ALL SELECT src_dump, {sql_category("time_control")}, 'ply', ply::INT FROM positions WHERE ply >= 0
         ), r AS (
             SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY src_dump, time_control, field) AS n FROM v
             WINDOW w AS (PARTITION BY src_dump, time_control, field ORDER BY x)

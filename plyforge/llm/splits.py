@@ -113,11 +113,13 @@ def split_records(records: DataFrame, groups: DataFrame, configs: list[dict]) ->
     sizes = mapped.groupBy("group_id").agg(F.sum("n").alias("n")).unionByName(lone)
     given = session.cut(assign(sizes, configs), "group-splits")
     total = records.count()
-    per_id = mapped.join(given.select("seed", "group_id", "split"), "group_id").groupBy("id", "n", "group_id").agg(F.collect_list(F.struct("seed", "split")).alias("given"))
+    # a group with a third of all ids, or an id with a third of all records, is joined where its rows lie
+    listed = given.groupBy("group_id").agg(F.collect_list(F.struct("seed", "split")).alias("given"))
+    load = mapped.groupBy("group_id").agg(F.count(F.lit(1)).alias("ids"))
+    per_id = hot_join(mapped, listed.join(load, "group_id"), "group_id", "ids", mapped.count()).select("id", "n", "group_id", "given")
     named = hot_join(records.filter("id is not null").select("rec_id", "id"), per_id, "id", "n", total)
     alone = records.filter("id is null").select("rec_id", F.concat(F.lit("#"), F.col("rec_id")).alias("group_id"))
-    rest = given.filter(F.col("group_id").startswith("#")).groupBy("group_id").agg(F.collect_list(F.struct("seed", "split")).alias("given"))
-    both = named.select("rec_id", "group_id", "given").unionByName(alone.join(rest, "group_id").select("rec_id", "group_id", "given"))
+    both = named.select("rec_id", "group_id", "given").unionByName(alone.join(listed, "group_id").select("rec_id", "group_id", "given"))
     return both.select(F.explode("given").alias("g"), "rec_id", "group_id").select("g.seed", "rec_id", "group_id", "g.split")
 
 

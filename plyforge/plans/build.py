@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge import session
@@ -109,11 +109,9 @@ def run_build(spark: SparkSession, cfg: DatasetConfig, labeler: Labeler, version
         per = cfg.output.games_per_shard
         # accepted games are renumbered in dump order; ranks come from counts per block of the file, not a global sort
         blocks = order.groupBy(F.floor(F.col("game_seq") / 100_000).alias("block")).agg(F.count(F.lit(1)).alias("n"))
-        from pyspark.sql import Window
-
         before = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
         inner = Window.partitionBy("block").orderBy("game_seq")
-        games = order.withColumn("block", F.floor(F.col("game_seq") / 100_000)).join(F.broadcast(before), "block")
+        games = order.withColumn("block", F.floor(F.col("game_seq") / 100_000)).join(before, "block")
         games = session.cut(games.withColumn("game_seq", F.col("before") + F.row_number().over(inner)).drop("block", "before"), "games")
         total = -(-progress.games_accepted // per)
         stop = total if max_shards is None else min(total, progress.shards_done + max_shards)

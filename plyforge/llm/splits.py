@@ -19,6 +19,8 @@ from plyforge.llm.union_find import components
 from plyforge.operators.skew import bucket_count, hot_join, numbered
 
 SPLITS = ("train", "val", "test")
+#: Largest plan (a row for each seed, size and split) that is broadcast; above it the join is an ordinary one.
+PLAN_ROWS = 100_000
 
 
 def groups_of(links: DataFrame, entities: DataFrame) -> DataFrame:
@@ -99,7 +101,7 @@ def assign(group_sizes: DataFrame, configs: list[dict]) -> DataFrame:
     buckets = bucket_count(sum(c for _, c in histogram))
     ranked = numbered(drawn, ["seed", "n"], [F.col("salt"), F.col("group_id")], buckets, F.col("salt"))
     on = (ranked.seed == plan.seed) & (ranked.n == plan.n) & (ranked.place >= plan.low) & (ranked.place < plan.high)
-    return ranked.join(F.broadcast(plan), on).select(ranked.seed, "group_id", ranked.n, "split")
+    return ranked.join(F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan, on).select(ranked.seed, "group_id", ranked.n, "split")
 
 
 def split_records(records: DataFrame, groups: DataFrame, configs: list[dict]) -> DataFrame:

@@ -315,6 +315,16 @@ def leaked_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.leaked_games(t)
 
 
+@query(f"""WITH s AS (SELECT seed, {sql_ref('game_id')} AS game_id, lower(trim(split, {SQL_BLANKS})) AS w FROM split_log),
+    n AS (SELECT seed, game_id, CASE WHEN w IN ('train', 'training', 'tr') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN w IN ('test', 'testing', 'tst') THEN 'test' END AS split FROM s)
+    SELECT seed, game_id FROM n WHERE split IS NOT NULL AND game_id IS NOT NULL AND seed IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""")
+def leaked_games_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks under every seed of the log; ``leaked_games`` is its part of seed 417 only, as its SQL has it."""
+    t = _t(spark, sf_dir, "split_log").filter("seed is not null")
+    t = t.select("seed", refs.game_ref(F.col("game_id")).alias("game_id"), refs.split_name(F.col("split")).alias("split")).filter("game_id is not null")
+    return split.leaked_games(t, game=["seed", "game_id"])
+
+
 @query("SELECT CASE (rec_id // 1000) % 20 WHEN 1 THEN 'test' WHEN 0 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM positions GROUP BY 1")
 def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "positions").groupBy(split.block_split(F.col("rec_id")).alias("split")).agg(F.count(F.lit(1)).alias("n"))

@@ -48,8 +48,8 @@ def describe_split(df: DataFrame, split: str = "split", game: str = "game_id") -
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def leaked_games(df: DataFrame, split: str = "split", game: str = "game_id") -> DataFrame:
-    """Games with rows in more than one split; must be empty."""
+def leaked_games(df: DataFrame, split: str = "split", game: str | list[str] = "game_id") -> DataFrame:
+    """Games (or combinations of several columns, as seed and game) with rows in more than one split; must be empty."""
     both = df.filter(F.col(split).isNotNull()).groupBy(game).agg(F.min(split).alias("_a"), F.max(split).alias("_b"))
     return both.filter("_a != _b").select(game)
 

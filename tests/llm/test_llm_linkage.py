@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import pytest
 
@@ -31,6 +32,7 @@ def recs(spark, rows):
 
 def classes(texts):
     """Identity -> smallest identity of its class, over all pairs of the texts."""
+    texts = set(texts)
     up = {keys.digest64(t): keys.digest64(t) for t in texts}
 
     def find(x):
@@ -38,7 +40,7 @@ def classes(texts):
             x = up[x]
         return x
 
-    for s, t in itertools.combinations(sorted(set(texts)), 2):
+    for s, t in itertools.combinations(sorted(texts), 2):
         a, b = s.split(), t.split()
         if a[0] == b[0]:
             score = math.log2(WEIGHTS.prior / (1 - WEIGHTS.prior))
@@ -68,3 +70,37 @@ def test_chains_recurring_identities_and_moves_over_rounds(spark, weights):
     assert len(set(want.values())) == 8
     got = linkage.link(*given(spark, batches[1:], batches[0]), flush_batches=1, threshold=THRESHOLD).clusters.collect()
     assert len(got) == len(want) and {r.ident: r.rep for r in got} == want
+
+
+@pytest.mark.parametrize("flush", [1, 4])
+def test_all_states_of_a_placement_are_compared(spark, weights, flush):
+    """A first state that is unlike two that are alike, in history, in a round and over rounds; a member that is no head."""
+    coin = random.Random(7)
+    steps = [(side, rights) for side in "wb" for rights in ("K", "Q", "k", "q", "KQ")]
+    texts = [[fen(n, *step) for step in coin.sample(steps, 4)] for n in range(1, 41)]
+    history = [t for some in texts[:20] for t in some[:3]]
+    batches = [[t for some in texts for t in some[k::4]] for k in range(4)] + [[t for some in texts for t in some[:1]]]
+    want = classes(t for some in texts for t in some)
+    got = linkage.link(*given(spark, batches, history), flush_batches=flush, threshold=THRESHOLD).clusters.collect()
+    assert len(got) == len(want) and {r.ident: r.rep for r in got} == want
+
+
+@pytest.mark.parametrize("flush", [1, 4])
+def test_a_key_whose_text_arrives_later_is_compared(spark, weights, flush):
+    a, b, c = fen(1, "w", "K"), fen(1, "w", "Q"), fen(1, "w", "k")
+    key = keys.digest64
+    history = recs(spark, [(1, None, None, key(a))])
+    batches = recs(spark, [(100, 1, None, key(b)), (200, 2, a, None), (300, 3, b, None), (400, 4, a, None), (500, 5, c, None)])
+    got = linkage.link(history, batches, flush_batches=flush, threshold=THRESHOLD).clusters.collect()
+    assert {r.ident: r.rep for r in got} == {key(t): min(map(key, (a, b, c))) for t in (a, b, c)}
+
+
+def test_weights_are_learned_from_all_pairs_of_history(spark, monkeypatch):
+    counted = []
+    monkeypatch.setattr(linkage, "learn_weights", lambda patterns, u: counted.extend(patterns) or WEIGHTS)
+    texts = [fen(1, "w", "K")] * 3 + [fen(1, "b", "K")] * 2 + [fen(1, "b", "Q")] + [fen(2, "w", "K")]
+    linkage.link(*given(spark, [], texts))
+    of = {}
+    for flags, n in counted:
+        of[flags] = of.get(flags, 0) + n
+    assert of == {(True, True, True): 3 + 1, (False, True, True): 6, (True, False, True): 2, (False, False, True): 3}

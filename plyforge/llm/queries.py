@@ -70,7 +70,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.link(tables.accepted_records(spark, sf_dir), tables.arriving_records(spark, sf_dir)).clusters
+    """The near-duplicate class of every record of openings, positions and arrivals: (rec_id, rep)."""
+    return linkage.link(tables.accepted_records(spark, sf_dir), tables.arriving_records(spark, sf_dir)).members
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,11 @@ import itertools
 import math
 import random
 
+import duckdb
 import pytest
+from compare import DATA, needs_data
 
+import __spark_entry__
 from plyforge.functions import keys
 from plyforge.functions.position import usual_text
 from plyforge.llm import linkage
@@ -104,3 +107,29 @@ def test_weights_are_learned_from_all_pairs_of_history(spark, monkeypatch):
     for flags, n in counted:
         of[flags] = of.get(flags, 0) + n
     assert of == {(True, True, True): 3 + 1, (False, True, True): 6, (True, False, True): 2, (False, False, True): 3}
+
+
+@needs_data
+def test_every_record_has_its_class(spark):
+    """The query gives one row for each record with an identity; records that show one position share a class."""
+    want = {}
+    con = duckdb.connect()
+    for table in ("openings", "positions", "arrivals"):
+        for rec, fen_, key in con.sql(f"SELECT rec_id, fen, pos_key FROM '{DATA}/{table}.parquet'").fetchall():
+            if fen_ is not None or key is not None:
+                want[rec] = None if fen_ is None else keys.digest64(usual_text(fen_) or " ".join(fen_.split(" ")[:4]))
+    got = __spark_entry__.queries()["p5_clusters"](spark, str(DATA)).collect()
+    assert sorted(r.rec_id for r in got) == sorted(want)
+    reps = {}
+    for r in got:
+        if want[r.rec_id] is not None:
+            reps.setdefault(want[r.rec_id], set()).add(r.rep)
+    assert all(len(x) == 1 for x in reps.values())
+
+
+def test_members_of_history_and_batches(spark, weights):
+    a, b, c, d = fen(1, "w", "K"), fen(1, "b", "Q"), fen(1, "w", "Q"), fen(2, "w", "K")
+    out = linkage.link(*given(spark, [[b, d], [c, None]], [a, d, a, None]), flush_batches=1, threshold=THRESHOLD)
+    of = classes([a, b, c, d])
+    shown = {0: a, 1: d, 2: a, 1000: b, 1001: d, 2000: c}
+    assert sorted(tuple(r) for r in out.members.collect()) == sorted((rec, of[keys.digest64(t)]) for rec, t in shown.items())

@@ -205,7 +205,8 @@ def outside_bands(df: DataFrame, bands: DataFrame, min_rows: int, day: str = "sr
 
     ``df`` has day, category and the fields as columns (nulls are not counted); ``bands`` has category, field, pct,
     low, high. Where a sketch's bounds leave no doubt it decides; otherwise the values below the band and up to its
-    end are counted, which settles it: the percentile of rank k is below ``low`` if at least k values are.
+    end are counted, which settles it: the percentile of rank k is below ``low`` if at least k values are. Rows without
+    a day are a group of their own, as in SQL's GROUP BY.
     """
     from plyforge import session
 
@@ -222,7 +223,9 @@ def outside_bands(df: DataFrame, bands: DataFrame, min_rows: int, day: str = "sr
     value: Column = F.lit(None).cast("double")
     for f in fields:
         value = F.when(F.col("field") == f, F.col(f)).otherwise(value)
-    counted = df.select(*keys, *fields).join(F.broadcast(open_) if open_.limit(10_001).count() <= 10_000 else open_, keys).withColumn("_v", value)
+    open_ = open_.withColumnsRenamed({day: "_day", category: "_category"})
+    same = F.col(day).eqNullSafe(F.col("_day")) & (F.col(category) == F.col("_category"))
+    counted = df.select(*keys, *fields).join(F.broadcast(open_) if open_.limit(10_001).count() <= 10_000 else open_, same).withColumn("_v", value)
     counted = counted.groupBy(day, category, "field", "pct", "n", "low", "high").agg(
         F.count_if(F.col("_v") < F.col("low")).alias("below"), F.count_if(F.col("_v") <= F.col("high")).alias("upto")
     )

@@ -27,16 +27,21 @@ def bucket_count(rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
     return max(least, -(-rows // per_bucket))
 
 
-def numbered(df: DataFrame, groups: list[str], order: list[Column], buckets: int, salt: Column, name: str = "place") -> DataFrame:
+def numbered(
+    df: DataFrame, groups: list[str], order: list[Column], buckets: int, salt: Column, name: str = "place", starts: DataFrame | None = None, start: str = ""
+) -> DataFrame:
     """Number the rows of each group from 0, in an order that is random by ``salt`` and fixed by ``order``.
 
     ``salt`` (a uniform long) spreads a group over ``buckets``; each (group, bucket) is numbered by itself and shifted
-    by the sizes of the buckets before it. The table of sizes has at most groups x buckets rows.
+    by the sizes of the buckets before it. The table of sizes has at most groups x buckets rows. With ``starts``
+    (groups and a column ``start``) a group's numbers begin there.
     """
     spread = df.withColumn("_bucket", F.pmod(salt, F.lit(buckets)).cast("int"))
     sizes = spread.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(*groups, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    if starts is not None:
+        shifts = shifts.join(starts, groups).select(*groups, "_bucket", (F.col("_shift") + F.col(start)).alias("_shift"))
     inner = Window.partitionBy(*groups, "_bucket").orderBy(*order)
     ranked = spread.withColumn("_local", F.row_number().over(inner) - 1)
     on = [ranked[c].eqNullSafe(shifts[c]) for c in [*groups, "_bucket"]]
@@ -44,3 +49,32 @@ def numbered(df: DataFrame, groups: list[str], order: list[Column], buckets: int
         ranked.join(shifts, on, "inner")
         .select(*[ranked[c] for c in df.columns], (F.col("_shift") + F.col("_local")).alias(name))
     )
+
+
+def sequenced(df: DataFrame, col: str, name: str = "rank", block: int = 4096) -> DataFrame:
+    """Number rows from 1 in the order of the whole number ``col`` (ties in any order); rows without one are left out.
+
+    Blocks of ``block`` successive values are numbered apart and shifted by the sizes of those before, so a sequence
+    without large gaps is never sorted as a whole; the table of blocks has a row for each ``block`` values that occur.
+    """
+    cut = df.filter(F.col(col).isNotNull()).withColumn("_block", F.floor(F.col(col) / block))
+    sizes = cut.groupBy("_block").agg(F.count(F.lit(1)).alias("_size"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_shift"))
+    inner = F.row_number().over(Window.partitionBy("_block").orderBy(col))
+    return cut.withColumn("_local", inner).join(shifts, "_block").withColumn(name, F.col("_shift") + F.col("_local")).select(*df.columns, name)
+
+
+def placed_by_value(df: DataFrame, groups: list[str], value: str, salt: Column, tie: list[Column], name: str = "place") -> DataFrame:
+    """Number the rows of each group from 0 in the order of ``value``, rows of one value in an order random by ``salt``.
+
+    The distinct values of a group are counted and their counts summed up; rows of one value are numbered in buckets
+    (``numbered``), so neither a group nor a value is ever sorted as a whole. ``groups`` and ``value`` are not null.
+    """
+    keys = [*groups, value]
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), "_n")
+    most = sizes.agg(F.coalesce(F.max("_n"), F.lit(0))).first()[0]
+    local = numbered(df, keys, [salt, *tie], bucket_count(most, least=1), salt, "_within", starts.drop("_n"), "_start")
+    return local.withColumnRenamed("_within", name)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_SHARED: dict[str, str] = {}
 _SHIPPED: dict[str, str] = {}
+_COMPLETE = b"\n#complete"
 
 
 def build_session(app: str = "plyforge", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -28,10 +29,13 @@ def build_session(app: str = "plyforge", cores: int | str = "*", shuffle_partiti
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where set, else (local runs, tests) a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_SHARED:
         _LOCAL_SHARED[app] = tempfile.mkdtemp(prefix="plyforge-shared-")
@@ -43,11 +47,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so its lineage ends in files that outlive executors."""
+def cut(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so its lineage ends in files that outlive executors.
+
+    The files of ``replaces``, an earlier cut that nothing reads any more, are removed once the new ones are written.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        release(replaces)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._plyforge_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a cut that nothing reads any more."""
+    path = getattr(df, "_plyforge_path", None)
+    if path is not None:
+        remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -72,27 +90,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """The versions of a control file, newest first."""
+    hpath, fs, _ = _hadoop(spark, path)
+    if not fs.exists(hpath.getParent()):
+        return []
+    start = hpath.getName() + ".v"
+    names = [f.getPath().getName() for f in fs.listStatus(hpath.getParent())]
+    return sorted(((int(n[len(start) :]), f"{path[: len(path) - len(hpath.getName())]}{n}") for n in names if n.startswith(start) and n[len(start) :].isdigit()), reverse=True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small control file: written beside it, then renamed over it."""
-    hpath, fs, jvm = _hadoop(spark, path)
-    part = jvm.org.apache.hadoop.fs.Path(path + ".part")
-    out = fs.create(part, True)
-    out.write(bytearray(text.encode("utf-8")))
+    """Put a new version of a small control file beside the old ones.
+
+    A version counts once its last line says so, whatever the file system: nothing is renamed or replaced, so after
+    a crash at any point the newest complete version is in force. Of the older ones the last is kept.
+    """
+    old = _versions(spark, path)
+    hpath, fs, _ = _hadoop(spark, f"{path}.v{(old[0][0] if old else 0) + 1:08d}")
+    out = fs.create(hpath, False)
+    out.write(bytearray(text.encode("utf-8") + _COMPLETE))
     out.close()
-    fs.delete(hpath, False)
-    if not fs.rename(part, hpath):
-        raise OSError(f"cannot rename {path}.part")
+    for _, name in old[1:]:
+        remove(spark, name)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    hpath, fs, jvm = _hadoop(spark, path)
-    if not fs.exists(hpath):
-        return None
-    stream = fs.open(hpath)
-    try:
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8")
-    finally:
-        stream.close()
+    """The newest complete version; null where there is none."""
+    for _, name in _versions(spark, path):
+        hpath, fs, jvm = _hadoop(spark, name)
+        stream = fs.open(hpath)
+        try:
+            data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+        if data.endswith(_COMPLETE):
+            return data[: -len(_COMPLETE)].decode("utf-8")
+    return None
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyforge.operators import ranks
+
 # Games end at the latest after so many half-moves; a move losing more centipawns than this is a blunder.
 MAX_PLIES, BLUNDER = 400, 300.0
 UNFINISHED = ("max_plies", "interrupted")
@@ -78,22 +80,51 @@ def pairings(openings: DataFrame) -> DataFrame:
 def move_quality(moves: DataFrame, by: list[str], threshold: float = BLUNDER) -> DataFrame:
     """ACPL with its error, median loss, agreement and blunder rate of moves (loss_cp, agrees)."""
     loss = F.col("loss_cp")
-    return moves.groupBy(*by).agg(
+    got = moves.groupBy(*by).agg(
         F.count(loss).alias("n"),
         F.avg(loss).alias("acpl"),
         (F.stddev_samp(loss) / F.sqrt(F.count(loss))).alias("acpl_se"),
-        F.percentile(loss, F.lit(0.5)).alias("median_loss"),
         F.avg(F.col("agrees").cast("int")).alias("agreement"),
         F.avg((loss > threshold).cast("int")).alias("blunder_rate"),
     )
+    middle = ranks.renamed(ranks.percentiles(moves, "loss_cp", [50], by), by)
+    return got.join(middle, ranks.matching(by), "left").select(*got.columns, F.col("value").alias("median_loss"))
 
 
 def latency(times: DataFrame, by: list[str], limit_ms: float = 5000.0) -> DataFrame:
-    ms = F.col("ms")
-    p = times.groupBy(*by).agg(F.percentile(ms, F.lit(0.5)).alias("p50"), F.percentile(ms, F.lit(0.99)).alias("p99"), F.max(ms).alias("longest"))
+    """Median, 99th percentile and longest time of each group, and how often the limit holds the 99th percentile."""
+    at = lambda p: F.max(F.when(F.col("pct") == p, F.col("value")))
+    p = ranks.percentiles(times, "ms", [50, 99, 100], by).groupBy(*by).agg(at(50).alias("p50"), at(99).alias("p99"), at(100).alias("longest"))
     return p.withColumn("headroom", F.lit(limit_ms) / F.col("p99"))
 
 
+def match_text(stats: DataFrame, by: list[str]) -> DataFrame:
+    """The record of ``match_stats`` as one line for each group."""
+    diff = F.when(F.col("elo_difference") == float("inf"), "+inf").when(F.col("elo_difference") == float("-inf"), "-inf")
+    line = F.concat(
+        F.format_string("%d games: +%d =%d -%d (%.1f %% / %.1f %% / %.1f %%), rate %.3f", "n", "won", "drawn", "lost", *[100 * F.col(c) / F.col("n") for c in ("won", "drawn", "lost")], "score_rate"),
+        F.coalesce(F.format_string(" +- %.3f", "margin"), F.lit("")), F.lit(", Elo "), F.coalesce(diff, F.format_string("%+.0f", "elo_difference"), F.lit("unknown")),
+        F.when(F.col("unfinished") > 0, F.format_string(", %d unfinished", "unfinished")).otherwise(""),
+    )
+    return stats.select(*by, F.when(F.col("n") > 0, line).otherwise("no games").alias("summary"))
+
+
+def elo_text(pooled: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The rating of ``pooled_elo`` as one line; without bounds where every game was won or lost."""
+    free = F.format_string("Elo %.0f +- %.0f (%d games)", "rating", "sigma", "games")
+    line = F.when(F.col("sigma").isNotNull(), free).otherwise(F.format_string("Elo %s all opponents (%d games)", F.when(F.col("rating") > 0, "above").otherwise("below"), "games"))
+    return pooled.select(*(by or []), line.alias("summary"))
+
+
+def quality_text(quality: DataFrame, by: list[str]) -> DataFrame:
+    """The move quality of each group as one line."""
+    line = F.format_string(
+        "ACPL %.1f +- %.1f (median %.1f), agreement %.1f %%, blunders %.1f %%, n %d", "acpl", F.coalesce("acpl_se", F.lit(0.0)), "median_loss",
+        100 * F.col("agreement"), 100 * F.col("blunder_rate"), "n",
+    )
+    return quality.select(*by, line.alias("summary"))
+
+
 def coherence(df: DataFrame, predicted_cp: str, actual_cp: str, clear: int = 100) -> DataFrame:
     """How many clear positions have the right sign, and how many even ones are seen as even."""
     p, a = F.col(predicted_cp), F.col(actual_cp)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge import session
 from plyforge.functions.scoring import CLIP, SCALE, bounded, value_to_cp
+from plyforge.operators.ranks import average_ranks
 
 DEADBAND = 0.05
 
@@ -42,30 +43,16 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
 
 
-def average_ranks(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """Ranks with ties averaged, as ``rank_<col>``.
-
-    Only the distinct values are ranked: they are counted first (with map-side combining), a running total of the
-    counts gives each value's rank, and rows get it by a join, so no task sorts a group's rows.
-    """
-    out = df
-    for c in cols:
-        n = df.groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
-        upto = Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
-        ranks = n.select(*by, c, (F.sum("_n").over(upto) - (F.col("_n") - 1) / 2).alias(f"rank_{c}"))
-        out = out.join(ranks, [*by, c])
-    return out
-
-
 def evaluate(df: DataFrame, predicted: str, actual: str, by: list[str] | None = None, scale: float = SCALE, clip: int = CLIP) -> DataFrame:
     """n, rmse, mae, mae_cp, sign_agreement, spearman for each group; rows with a null in either are left out.
 
-    Spearman is null for fewer than two rows or a constant side.
+    A null ``by`` is a group of its own. Spearman is null for fewer than two rows or a constant side.
     """
     by = by or []
-    rows = df.filter(F.col(predicted).isNotNull() & F.col(actual).isNotNull())
-    rows = rows.select(*by, F.col(predicted).cast("double").alias("p"), F.col(actual).cast("double").alias("a"))
-    ranked = average_ranks(session.cut(rows, "evaluated"), ["p", "a"], by)  # read three times, predicted once
+    rows = df.select(*by, F.col(predicted).cast("double").alias("p"), F.col(actual).cast("double").alias("a"))
+    # cut before the filter, which would be pushed below the prediction and evaluate it twice
+    rows = session.cut(rows, "evaluated").filter("p is not null and a is not null")
+    ranked = average_ranks(rows, ["p", "a"], by)
     p, a = F.col("p"), F.col("a")
     return ranked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
@@ -77,6 +64,41 @@ def evaluate(df: DataFrame, predicted: str, actual: str, by: list[str] | None =
     )
 
 
+def evaluation_text(metrics: DataFrame) -> DataFrame:
+    """The metrics of ``evaluate`` as one line each."""
+    part = F.format_string("rmse %.4f  mae %.4f (%.1f cp)  sign %.2f %%  rho %.4f  n %d", "rmse", "mae", "mae_cp", F.col("sign_agreement") * 100, "spearman", "n")
+    return metrics.select(*[c for c in metrics.columns if c not in ("n", "rmse", "mae", "mae_cp", "sign_agreement", "spearman")], part.alias("summary"))
+
+
+def score_text(name: str, scores: DataFrame) -> DataFrame:
+    """A baseline's scores (rmse, mae) as one line."""
+    return scores.select(F.format_string(f"{name}: rmse %.4f  mae %.4f", "rmse", "mae").alias("summary"))
+
+
+def rmse_map(**baselines: DataFrame) -> dict[str, float]:
+    """The RMSE of each named baseline (one-row tables) as a number."""
+    return {name: float(scores.first()["rmse"]) for name, scores in baselines.items()}
+
+
+def rank_agreement(models: DataFrame, error: str, strength: str) -> DataFrame:
+    """One row: rank correlation over models of an error against playing strength, and what it says of the error as a guide.
+
+    ``follows``: the smaller the error the stronger (correlation of at most -0.8); ``partly`` up to -0.3; else ``does not``.
+    """
+    rows = models.select(F.col(error).cast("double").alias("e"), F.col(strength).cast("double").alias("s")).filter("e is not null and s is not null")
+    ranked = average_ranks(rows, ["e", "s"], [])
+    rho = ranked.agg(F.count(F.lit(1)).alias("models"), correlation(F.col("rank_e"), F.col("rank_s")).alias("rho"))
+    return rho.withColumn("verdict", F.when(F.col("rho") <= -0.8, "follows").when(F.col("rho") <= -0.3, "partly").when(F.col("rho").isNotNull(), "does not"))
+
+
+def throughput(times: DataFrame) -> DataFrame:
+    """(model, batch, positions_per_second, best) of timed batches (model, batch, seconds): totals over all repetitions."""
+    t = times.filter("seconds > 0").groupBy("model", "batch").agg(F.sum("batch").alias("_n"), F.sum("seconds").alias("_s"))
+    t = t.select("model", "batch", (F.col("_n") / F.col("_s")).alias("positions_per_second"))
+    top = t.groupBy("model").agg(F.max("positions_per_second").alias("_top"))
+    return t.join(top, "model").select("model", "batch", "positions_per_second", (F.col("positions_per_second") == F.col("_top")).alias("best"))
+
+
 def r_squared(rmse_col: Column, floor: Column) -> Column:
     return 1 - F.pow(rmse_col / floor, F.lit(2.0))
 

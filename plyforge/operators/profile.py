@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge import session
+from plyforge.operators import ranks
 from plyforge.operators.metrics import correlation
 
 # Bands of the absolute value, and thresholds of depth.
@@ -15,7 +17,13 @@ DEPTHS = (0, 12, 16, 20, 25, 30)
 def value_counts(df: DataFrame, *by: str) -> DataFrame:
     """Rows and share of all rows for each value (null included)."""
     n = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return with_share(n)
+
+
+def with_share(counts: DataFrame, n: str = "n", name: str = "share") -> DataFrame:
+    """Add each row's share of the sum of ``n``; the sum is a table of one row, so the counts stay where they are."""
+    total = counts.agg(F.sum(n).alias("_total"))
+    return counts.crossJoin(F.broadcast(total)).withColumn(name, F.col(n) / F.col("_total")).drop("_total")
 
 
 def histogram(df: DataFrame, col: str, low: float, high: float, bins: int, *by: str) -> DataFrame:
@@ -27,9 +35,8 @@ def histogram(df: DataFrame, col: str, low: float, high: float, bins: int, *by:
 
 
 def percentiles(df: DataFrame, col: str, pcts: tuple[int, ...] = (1, 5, 25, 50, 75, 95, 99)) -> DataFrame:
-    """(pct, value) by linear interpolation, exact."""
-    got = df.agg(F.percentile(col, F.array(*[F.lit(p / 100) for p in pcts])).alias("v"))
-    return got.select(F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in pcts]).alias("pct"), F.col("v").alias("value"))).alias("z")).select("z.pct", "z.value")
+    """(pct, value) by linear interpolation, exact; from counts of the distinct values (``ranks``)."""
+    return ranks.percentiles(df, col, list(pcts), [])
 
 
 def band(value: Column) -> Column:
@@ -44,9 +51,9 @@ def band(value: Column) -> Column:
 def by_turn(df: DataFrame, value: str) -> DataFrame:
     """Mean, population spread, median and mean absolute value for each side to move."""
     v = F.col(value).cast("double")
-    return df.groupBy("turn_white").agg(
-        F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.percentile(v, F.lit(0.5)).alias("median"), F.avg(F.abs(v)).alias("mean_abs")
-    )
+    got = df.groupBy("turn_white").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.avg(F.abs(v)).alias("mean_abs"))
+    middle = ranks.renamed(ranks.percentiles(df, value, [50], ["turn_white"]), ["turn_white"])
+    return got.join(middle, ranks.matching(["turn_white"]), "left").select("turn_white", "n", "mean", "std", F.col("value").alias("median"), "mean_abs")
 
 
 def by_ply(df: DataFrame, value: str, width: int = 10, least: int = 30) -> DataFrame:
@@ -61,9 +68,10 @@ def by_ply(df: DataFrame, value: str, width: int = 10, least: int = 30) -> DataF
 
 def cumulative_share(df: DataFrame, col: str) -> DataFrame:
     """Rows of each value and the share of rows with at least that value."""
-    n = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, 0)
-    return n.withColumn("from_top", F.sum("n").over(down) / F.sum("n").over(Window.partitionBy()))
+    counts = session.cut(ranks.running_counts(df, [col], []), "cumulative")
+    total = counts.agg(F.max("_upto").alias("_total"))
+    least = (F.col("_total") - F.col("_upto") + F.col("_n")) / F.col("_total")
+    return counts.crossJoin(F.broadcast(total)).select(F.col("_v").cast(df.schema[col].dataType).alias(col), F.col("_n").alias("n"), least.alias("from_top"))
 
 
 def survival(df: DataFrame, col: str, thresholds: tuple[int, ...] = DEPTHS) -> DataFrame:
@@ -83,11 +91,18 @@ def duplicate_rate(df: DataFrame, key: str) -> DataFrame:
     return df.agg(n.alias("n"), d.alias("n_distinct"), F.coalesce(F.lit(1.0) - F.try_divide(d.cast("double"), n), F.lit(0.0)).alias("rate"))
 
 
-def label_convention(df: DataFrame, material: str, value: str, least: int = 3) -> DataFrame:
-    """For each side to move: how often the value's sign agrees with a clear material balance, and their correlation."""
+def material_band(balance: Column) -> Column:
+    """How clear a material balance is: 0 below 1, 1 below 3, 2 below 5, 3 below 9, 4 from 9."""
+    b = F.abs(balance)
+    return F.when(b < 1, 0).when(b < 3, 1).when(b < 5, 2).when(b < 9, 3).when(b.isNotNull(), 4)
+
+
+def label_convention(df: DataFrame, material: str, value: str, least: int = 3, by: tuple[str, ...] = ("turn_white",)) -> DataFrame:
+    """For each side to move (or other ``by``, as shard and material band): how often the value's sign agrees with a
+    clear material balance, and their correlation."""
     clear = F.abs(F.col(material)) >= least
     agree = F.when(clear, (F.signum(F.col(material)) == F.signum(F.col(value))).cast("int"))
-    return df.groupBy("turn_white").agg(
+    return df.groupBy(*by).agg(
         F.count_if(clear).alias("n_clear"), F.avg(agree).alias("agreement"), correlation(F.col(material).cast("double"), F.col(value).cast("double")).alias("correlation")
     )
 

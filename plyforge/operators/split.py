@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from plyforge.config import SplitConfig
 from plyforge.functions.keys import unit_hash
+from plyforge.operators import profile
 
 
 def game_position(game_id: str, seed: int) -> float:
@@ -45,7 +46,12 @@ def hashed_split(game: Column, cfg: SplitConfig | None = None) -> Column:
 def describe_split(df: DataFrame, split: str = "split", game: str = "game_id") -> DataFrame:
     """Rows, share and games of each split."""
     n = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(game).alias("n_games"))
-    return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    return profile.with_share(n)
+
+
+def split_masks(split: Column, name: str = "masks") -> Column:
+    """A struct of three flags, in_train, in_val and in_test; a null split is in none."""
+    return F.struct(*[F.coalesce(split == s, F.lit(False)).alias(f"in_{s}") for s in ("train", "val", "test")]).alias(name)
 
 
 def leaked_games(df: DataFrame, split: str = "split", game: str | list[str] = "game_id") -> DataFrame:

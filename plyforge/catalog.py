@@ -11,6 +11,7 @@ from plyforge import session
 from plyforge.config import SplitConfig
 from plyforge.functions import board, keys, refs, scoring
 from plyforge.operators import encode, ingest, match, metrics, profile, search, split, validate
+from plyforge.operators.skew import sequenced
 from plyforge.sources.shards import SCHEMA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,13 +98,8 @@ def yield_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ((k - 1) // 500)::INT AS shard, count(*) AS n_positions, count(DISTINCT k) AS n_games, count(*) / 2000.0 AS share_of_ceiling FROM a
     GROUP BY 1""")
 def shard_yield(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plyforge.operators.skew import numbered
-
     g = _t(spark, sf_dir, "games").filter(ingest.accepts()).select("game_seq")
-    block = F.floor(F.col("game_seq") / 4096)
-    # blocks of game_seq are numbered apart: the salt is the block itself, so the numbering follows game_seq
-    ranked = numbered(g.withColumn("one", F.lit(1)), ["one"], [F.col("game_seq")], 1 << 20, block)
-    return profile.shard_yield(ranked.select((F.col("place") + 1).alias("game_seq")), 500)
+    return profile.shard_yield(sequenced(g, "game_seq").select(F.col("rank").alias("game_seq")), 500)
 
 
 @query("""SELECT pos_key, rec_id FROM (SELECT pos_key, rec_id, row_number() OVER (PARTITION BY pos_key ORDER BY rec_id) AS k FROM positions WHERE pos_key IS NOT NULL)
@@ -230,38 +226,26 @@ _COUNT = "length(split_part(fen, ' ', 1)) - length(replace(split_part(fen, ' ',
 _BALANCE = " + ".join(f"{w} * (({_COUNT.format(p)}) - ({_COUNT.format(p.lower())}))" for p, w in (("P", 1), ("N", 3), ("B", 3), ("R", 5), ("Q", 9)))
 
 
-_SINGLE = " WHERE regexp_matches(fen, '^[^[:space:]_]+ [^[:space:]_]+ ')"
 #: positions with every text, its fields apart by single blanks and its side in lower case
-_EVERY = r"""FROM (SELECT * REPLACE (regexp_replace(x, '^[^ ]+ [^ ]+', split_part(x, ' ', 1) || ' ' || lower(split_part(x, ' ', 2))) AS fen) FROM
+_EVERY = r"""(SELECT * REPLACE (regexp_replace(x, '^[^ ]+ [^ ]+', split_part(x, ' ', 1) || ' ' || lower(split_part(x, ' ', 2))) AS fen) FROM
     (SELECT *, trim(regexp_replace(fen, '[\s\x0B_\x{00A0}]+', ' ', 'g'), ' ') AS x FROM positions WHERE fen IS NOT NULL))"""
 
 
-def _every(name: str, only: str) -> str:
-    """The SQL of a query without its condition ``only`` on how a text is written, over every text."""
-    assert SQL[name].count("FROM positions" + only) == 1
-    return SQL[name].replace("FROM positions" + only, _EVERY + (" WHERE" if only.endswith("AND") else ""))
-
-
-def _balanced(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    """Positions written with single blanks, or with ``every`` text however written, with White's material balance."""
-    p = _t(spark, sf_dir, "positions").filter(F.col("fen").isNotNull() if every else F.col("fen").rlike(r"^[^\s_]+ [^\s_]+ "))
+def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions with a text, however written, with White's material balance."""
+    p = _t(spark, sf_dir, "positions").filter("fen is not null")
     return p.withColumn("_pieces", board.placement(F.col("fen"))).withColumn("balance", board.material_balance(F.col("_pieces"))).drop("_pieces")
 
 
-@query(f"""WITH p AS (SELECT *, {_BALANCE} AS balance FROM positions WHERE regexp_matches(fen, '^[^[:space:]_]+ [^[:space:]_]+ '))
+@query(f"""WITH p AS (SELECT *, {_BALANCE} AS balance FROM {_EVERY})
     SELECT turn_white, count(*) FILTER (WHERE abs(balance) >= 3) AS n_clear,
         round(avg(CASE WHEN abs(balance) >= 3 THEN (sign(balance) = sign(value_white))::INT END), 9) AS agreement,
         round(corr(balance::DOUBLE, value_white::DOUBLE), 8) AS correlation FROM p GROUP BY 1""")
-def label_convention(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    d = profile.label_convention(_balanced(spark, sf_dir, every), "balance", "value_white")
+def label_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = profile.label_convention(_balanced(spark, sf_dir), "balance", "value_white")
     return d.withColumns({"agreement": F.round("agreement", 9), "correlation": F.round("correlation", 8)})
 
 
-@query(_every("label_convention", _SINGLE))
-def label_convention_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return label_convention(spark, sf_dir, every=True)
-
-
 @query("SELECT DISTINCT sf_depth, sf_version, src_dump FROM positions")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "positions").select("sf_depth", "sf_version", "src_dump").distinct()
@@ -290,9 +274,9 @@ def values_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH e AS (SELECT abs(cp_white - 400 * atanh(greatest(-tanh(5.0::DOUBLE), least(tanh(5.0::DOUBLE), value_white::DOUBLE)))) AS err FROM positions
-    WHERE cp_white BETWEEN -1500 AND 1500 AND value_white IS NOT NULL) SELECT round(max(err), 5) AS max_error, round(avg(err), 5) AS mean_error FROM e""")
+    WHERE cp_white IS NOT NULL AND value_white IS NOT NULL AND NOT isnan(value_white)) SELECT round(max(err), 5) AS max_error, round(avg(err), 5) AS mean_error FROM e""")
 def reconstruction_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _t(spark, sf_dir, "positions").filter(F.col("cp_white").between(-1500, 1500))
+    p = _t(spark, sf_dir, "positions").filter("cp_white is not null and value_white is not null and not isnan(value_white)")
     return metrics.reconstruction(p, "cp_white", "value_white").select(F.round("max_error", 5).alias("max_error"), F.round("mean_error", 5).alias("mean_error"))
 
 
@@ -323,20 +307,11 @@ def keyed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.describe_split(_games(spark, sf_dir).withColumn("split", split.keyed_split(F.col("game_id"), SplitConfig())))
 
 
-@query(f"""WITH s AS (SELECT {sql_ref('game_id')} AS game_id, lower(trim(split, {SQL_BLANKS})) AS w FROM split_log WHERE seed = 417),
-    n AS (SELECT game_id, CASE WHEN w IN ('train', 'training', 'tr') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN w IN ('test', 'testing', 'tst') THEN 'test' END AS split FROM s)
-    SELECT game_id FROM n WHERE split IS NOT NULL AND game_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1""")
-def leaked_games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _t(spark, sf_dir, "split_log").filter("seed = 417")
-    t = t.select(refs.game_ref(F.col("game_id")).alias("game_id"), refs.split_name(F.col("split")).alias("split")).filter("game_id is not null")
-    return split.leaked_games(t)
-
-
 @query(f"""WITH s AS (SELECT seed, {sql_ref('game_id')} AS game_id, lower(trim(split, {SQL_BLANKS})) AS w FROM split_log),
     n AS (SELECT seed, game_id, CASE WHEN w IN ('train', 'training', 'tr') THEN 'train' WHEN w IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN w IN ('test', 'testing', 'tst') THEN 'test' END AS split FROM s)
     SELECT seed, game_id FROM n WHERE split IS NOT NULL AND game_id IS NOT NULL AND seed IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""")
-def leaked_games_by_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaks under every seed of the log; ``leaked_games`` is its part of seed 417 only, as its SQL has it."""
+def leaked_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaks under every seed of the log."""
     t = _t(spark, sf_dir, "split_log").filter("seed is not null")
     t = t.select("seed", refs.game_ref(F.col("game_id")).alias("game_id"), refs.split_name(F.col("split")).alias("split")).filter("game_id is not null")
     return split.leaked_games(t, game=["seed", "game_id"])
@@ -356,11 +331,11 @@ def nested_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Metrics and baselines --------------------------------------------------------------------------------------------
 
-_PRED = f"WITH p AS (SELECT {sql_category('time_control')} AS category, tanh(({_BALANCE}) / 4.0::DOUBLE) AS p, value_white::DOUBLE AS a FROM positions WHERE regexp_matches(fen, '^[^[:space:]_]+ [^[:space:]_]+ ') AND value_white IS NOT NULL)"
+_PRED = f"WITH p AS (SELECT {sql_category('time_control')} AS category, tanh(({_BALANCE}) / 4.0::DOUBLE) AS p, value_white::DOUBLE AS a FROM {_EVERY} WHERE value_white IS NOT NULL)"
 
 
-def _predicted(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    b = _balanced(spark, sf_dir, every)
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _balanced(spark, sf_dir)
     return b.select("rec_id", refs.label_category(F.col("time_control")).alias("category"), F.tanh(F.col("balance") / 4.0).alias("p"), F.col("value_white").cast("double").alias("a"))
 
 
@@ -370,16 +345,16 @@ def _predicted(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFra
     SELECT category, count(*) AS n, round(sqrt(avg((p - a) * (p - a))), 9) AS rmse, round(avg(abs(p - a)), 9) AS mae, round(avg(abs(cp - ca)), 5) AS mae_cp,
         round(avg(CASE WHEN abs(a) > 0.05 THEN (sign(p) = sign(a))::INT END), 9) AS sign_agreement,
         round(CASE WHEN stddev_pop(rp) > 0 AND stddev_pop(ra) > 0 THEN corr(rp, ra) END, 8) AS spearman FROM r GROUP BY 1""")
-def evaluation(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
+def evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {"rmse": 9, "mae": 9, "mae_cp": 5, "sign_agreement": 9, "spearman": 8}
-    got = metrics.evaluate(_predicted(spark, sf_dir, every), "p", "a", by=["category"])
+    got = metrics.evaluate(_predicted(spark, sf_dir), "p", "a", by=["category"])
     return got.withColumns({c: F.round(c, n) for c, n in places.items()})
 
 
 @query(f"""{_PRED} SELECT CASE WHEN abs(a) < 0.05 THEN 0 WHEN abs(a) < 0.2 THEN 1 WHEN abs(a) < 0.5 THEN 2 WHEN abs(a) < 1.01 THEN 3 END AS band, count(*) AS n,
     round(avg(CASE WHEN abs(a) > 0 THEN (sign(p) = sign(a))::INT END), 9) AS sign_agreement, round(sqrt(avg((p - a) * (p - a))), 9) AS rmse FROM p GROUP BY 1""")
-def evaluation_by_band(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    d = _predicted(spark, sf_dir, every).filter("a is not null")
+def evaluation_by_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _predicted(spark, sf_dir).filter("a is not null")
     p, a = F.col("p"), F.col("a")
     return d.groupBy(profile.band(a).alias("band")).agg(
         F.count(F.lit(1)).alias("n"), F.round(metrics.sign_agreement(p, a, 0.0), 9).alias("sign_agreement"), F.round(metrics.rmse(p, a), 9).alias("rmse")
@@ -388,26 +363,11 @@ def evaluation_by_band(spark: SparkSession, sf_dir: str, every: bool = False) ->
 
 @query(f"""{_PRED} SELECT round(avg(CASE WHEN abs(p - a) <= 0.1 THEN 0.5 * (p - a) * (p - a) ELSE 0.1 * (abs(p - a) - 0.05) END), 9) AS huber,
     round(avg((abs(a) >= 0.99)::INT), 9) AS saturated FROM p""")
-def losses(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    d = _predicted(spark, sf_dir, every).filter("a is not null")
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _predicted(spark, sf_dir).filter("a is not null")
     return d.agg(F.round(metrics.huber(F.col("p"), F.col("a")), 9).alias("huber"), F.round(metrics.saturated_share(F.col("a")), 9).alias("saturated"))
 
 
-@query(_every("evaluation", _SINGLE + " AND"))
-def evaluation_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation(spark, sf_dir, every=True)
-
-
-@query(_every("evaluation_by_band", _SINGLE + " AND"))
-def evaluation_by_band_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation_by_band(spark, sf_dir, every=True)
-
-
-@query(_every("losses", _SINGLE + " AND"))
-def losses_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses(spark, sf_dir, every=True)
-
-
 @query(f"""WITH g AS (SELECT {sql_ref('game_id')} AS game_id, value_white::DOUBLE AS a FROM positions), s AS (SELECT a, {_SPLIT.format('game_id')} AS split FROM g),
     m AS (SELECT avg(a) AS m FROM s WHERE split = 'train')
     SELECT round(sqrt(avg((m - a) * (m - a))), 9) AS rmse, round(avg(abs(m - a)), 9) AS mae FROM s, m WHERE split = 'test'""")
@@ -429,22 +389,17 @@ def material_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _OWN = "CASE split_part(fen, ' ', 2) WHEN 'w' THEN 1 WHEN 'b' THEN -1 END"
 
 
-@query("SELECT rec_id, " + ", ".join(f"({_OWN}) * (({_COUNT.format(c)}) - ({_COUNT.format(c.lower())})) AS d_{n}" for n, c in zip(encode.PIECES, "PNBRQK")) + " FROM positions WHERE regexp_matches(fen, '^[^[:space:]_]+ [wb] ')")
-def material_features(spark: SparkSession, sf_dir: str, every: bool = False) -> DataFrame:
-    p = _t(spark, sf_dir, "positions").filter(F.col("fen").isNotNull() if every else F.col("fen").rlike(r"^[^\s_]+ [wb] ")).select("rec_id", "fen")
+@query("SELECT rec_id, " + ", ".join(f"({_OWN}) * (({_COUNT.format(c)}) - ({_COUNT.format(c.lower())})) AS d_{n}" for n, c in zip(encode.PIECES, "PNBRQK")) + f" FROM {_EVERY}")
+def material_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "positions").filter("fen is not null").select("rec_id", "fen")
     return encode.material_features(p).drop("fen")
 
 
-@query(_every("material_features", " WHERE regexp_matches(fen, '^[^[:space:]_]+ [wb] ')"))
-def material_features_every(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return material_features(spark, sf_dir, every=True)
-
-
 @query()
 def encoded_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All positions as planes, checked (the en passant plane needs the rules)."""
-    p = session.spread(_t(spark, sf_dir, "positions").select("fen")).select(encode.encoded(F.col("fen")).alias("planes"))
-    return encode.encoding_sanity(p)
+    p = session.spread(_t(spark, sf_dir, "positions").select("fen"))
+    return encode.encoding_sanity(encode.with_planes(p))
 
 
 # Matches ----------------------------------------------------------------------------------------------------------

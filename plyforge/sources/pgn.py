@@ -114,5 +114,5 @@ def as_text(headers: Column, movetext: Column) -> Column:
 
 
 def write_text(df: DataFrame, path: str) -> None:
-    """Write games as PGN text, zstd-compressed where Spark's codecs include it (they do since Hadoop 3)."""
+    """Write games as gzip-compressed PGN text."""
     df.select(as_text(F.col("headers"), F.col("movetext")).alias("value")).write.option("compression", "gzip").text(path)

@@ -19,4 +19,4 @@ def test_query_without_sql_runs(spark, name):
 
 @needs_data
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).count() == 7
+    assert __spark_entry__.entry(spark).count() == 8

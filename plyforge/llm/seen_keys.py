@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge import session
-from plyforge.llm.runs import RunStore, bucket_bits, rounds
+from plyforge.llm.runs import Rounds, RunStore, rounds
 from plyforge.operators.skew import hot_join
 
 PROBED = "key bigint, first bigint, n bigint, hit boolean, found boolean"
@@ -27,25 +27,26 @@ class Seen:
     probed: DataFrame  # key, first, n, hit, found: each round's distinct keys
 
 
-def find_seen(history: DataFrame, batches: DataFrame, flush_batches: int = 4, keys_per_bucket: int = 2_000_000, path: str | None = None) -> Seen:
+def find_seen(history: DataFrame | None, batches: DataFrame, flush_batches: int = 4, rows_per_file: int = 2_000_000, path: str | None = None) -> Seen:
     """Which rows of ``batches`` (rec_id, batch_no, key) have a key of ``history`` (key) or of a row of smaller rec_id.
 
     ``flush_batches`` batches are gathered before their new keys are flushed as a run (equal keys among them are
-    told apart by rec_id). ``keys_per_bucket`` sets how many files a run has; ``path`` names a store to go on with.
+    told apart by rec_id). ``path`` names a store to go on with; its keys count as history, and ``history`` (which may
+    be None then) is added to them.
     """
     spark = batches.sparkSession
     batches = session.cut(batches.select("rec_id", "batch_no", "key").filter("key is not null"), "seen-batches")
-    old = session.cut(history.select("key").filter("key is not null").distinct(), "seen-history")
-    store = RunStore.open(spark, path or session.new_path(spark, "seen-store"), bits=bucket_bits(old.count(), keys_per_bucket))
-    store.flush(old, level=1)
-    probed = None
+    store = RunStore.open(spark, path or session.new_path(spark, "seen-store"), rows_per_file=rows_per_file)
+    if history is not None:
+        old = session.cut(history.select("key").filter("key is not null").distinct(), "seen-history")
+        store.flush(old, level=1)
+        session.release(old)
+    results = Rounds(spark, session.new_path(spark, "seen-rounds"), PROBED)
     for low, high in rounds(batches, flush_batches):
         distinct = batches.filter(F.col("rec_id").between(low, high)).groupBy("key").agg(F.min("rec_id").alias("first"), F.count(F.lit(1)).alias("n"))
-        result = session.cut(store.probe(distinct), "seen-round")
+        result = results.add(store.probe(distinct))
         store.flush(result.filter("not found").select("key"))
-        probed = result if probed is None else probed.unionByName(result)
-    if probed is None:
-        probed = spark.createDataFrame([], PROBED)
+    probed = results.read()
     # the round of a key's first row tells whether history has it; later rounds find it in the store anyhow
     known = probed.groupBy("key").agg(F.min("first").alias("first"), F.min_by("found", "first").alias("before"), F.sum("n").alias("n"))
     known = known.filter("before or n > 1")

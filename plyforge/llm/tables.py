@@ -53,15 +53,21 @@ def split_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("seed", refs.game_ref(F.col("game_id")).alias("id"), refs.split_name(F.col("split")).alias("split"))
 
 
-def accepted_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def accepted_records(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
     """openings and positions as ``linkage.RECORD``."""
-    both = [read(spark, sf_dir, t).select("rec_id", "fen", "pos_key") for t in ("openings", "positions")]
-    return linkage.records(both[0].unionByName(both[1]), F.col("pos_key"), F.lit(None))
+    book = read(spark, sf_dir, "openings").select("rec_id", "fen", "pos_key", F.lit(None).cast("string").alias("game_id"), "ply", F.lit(None).cast("string").alias("src_dump"))
+    both = book.unionByName(read(spark, sf_dir, "positions").select("rec_id", "fen", "pos_key", "game_id", "ply", "src_dump"))
+    return linkage.records(both, F.col("pos_key"), F.lit(None), *_origin(), near=near)
 
 
-def arriving_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "arrivals").select("rec_id", "batch_no", "fen", "pos_key")
-    return linkage.records(t, keys.parse_key(F.col("pos_key")), F.col("batch_no"))
+def arriving_records(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
+    t = read(spark, sf_dir, "arrivals").select("rec_id", "batch_no", "fen", "pos_key", "game_id", "ply", "src_dump")
+    return linkage.records(t, keys.parse_key(F.col("pos_key")), F.col("batch_no"), *_origin(), near=near)
+
+
+def _origin() -> tuple:
+    """Game, ply and dump as ``linkage.records`` takes them."""
+    return refs.game_ref(F.col("game_id")), F.col("ply"), refs.dump_name(F.col("src_dump"))
 
 
 def sampling_pool(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,7 +59,7 @@ def test_hash_collisions_are_refuted(spark, monkeypatch):
 
 def test_store_levels_compact_and_reopen(spark):
     path = session.new_path(spark, "store")
-    store = runs.RunStore.open(spark, path, payload="v bigint", bits=2, fan_out=2, block_bytes=1024)
+    store = runs.RunStore.open(spark, path, payload="v bigint", fan_out=2, block_bytes=1024, rows_per_file=60)
     for part in range(5):
         store.flush(spark.range(part * 100, part * 100 + 100).select(F.col("id").alias("key"), (F.col("id") * 2).alias("v")))
     assert [len(level) for level in store.levels] == [1, 0, 1]
@@ -70,6 +70,54 @@ def test_store_levels_compact_and_reopen(spark):
     assert got == {"a": (True, 10), "b": (True, 10), "c": (True, 998), "d": (False, None)}
 
 
+def test_a_store_that_begins_empty_grows(spark):
+    """Each run has the files its own size asks for, whatever the store began with; every key is found again."""
+    store = runs.RunStore.open(spark, session.new_path(spark, "store"), rows_per_file=100_000)
+    assert store.flush(spark.range(0).select(F.col("id").alias("key"))) is None
+    store.flush(spark.range(10).select(F.col("id").alias("key")))
+    store.flush(spark.range(100, 1_000_100, numPartitions=4).select(F.col("id").alias("key")))
+    assert [run.files for run in store.runs] == [1, 10] and store.probe(spark.range(3).select(F.col("id").alias("key"))).rdd.getNumPartitions() == 10
+    asked = store.probe(spark.range(0, 2_000_000, 7, numPartitions=4).select(F.col("id").alias("key")))
+    got = {r.found: (r.n, r.least, r.most) for r in asked.groupBy("found").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).collect()}
+    known = [k for k in range(0, 2_000_000, 7) if k < 10 or 100 <= k < 1_000_100]
+    assert got[True] == (len(known), 0, known[-1]) and got[False][0] == len(range(0, 2_000_000, 7)) - len(known)
+
+
+def test_twins_are_all_pairs_of_a_run_with_one_key(spark):
+    store = runs.RunStore.open(spark, session.new_path(spark, "store"), payload="v bigint", block_bytes=512, rows_per_file=400)
+    rows = [(k % 40 if k < 900 else 10_000 + k, k) for k in range(1000)]
+    run = store.flush(spark.createDataFrame(rows, "key bigint, v bigint"))
+    assert run.files == 3
+    got = sorted(tuple(sorted((r.v, r.old_v))) for r in store.twins(run).collect())
+    assert got == sorted((a, b) for b in range(900) for a in range(b) if a % 40 == b % 40)
+
+
+def test_a_broken_commit_leaves_the_state_before(spark):
+    path = session.new_path(spark, "store")
+    store = runs.RunStore.open(spark, path, fan_out=2)
+    for k in range(3):
+        store.flush(spark.range(k * 10, k * 10 + 10).select(F.col("id").alias("key")))
+    newest, name = session._versions(spark, f"{path}/manifest.json")[0]
+    broken = session._hadoop(spark, f"{path}/manifest.json.v{newest + 1:08d}")
+    out = broken[1].create(broken[0], False)
+    out.write(bytearray(b'{"levels": [], "made"'))  # the writer died in mid-file
+    out.close()
+    assert runs.RunStore.open(spark, path).scan().count() == 30
+    again = runs.RunStore.open(spark, path, fan_out=2)
+    again._write(spark.range(5).select(F.col("id").alias("key")), 5)  # a run that was written but never committed
+    again = runs.RunStore.open(spark, path, fan_out=2)
+    again.flush(spark.range(30, 40).select(F.col("id").alias("key")))
+    assert sorted(r.key for r in runs.RunStore.open(spark, path).scan().collect()) == list(range(40))
+
+
+def test_seen_keys_go_on_with_a_store(spark):
+    path = session.new_path(spark, "store")
+    h, b = frames(spark, [1, 2], [(10, 0, 3), (11, 0, 1)])
+    assert [r.rec_id for r in seen_keys.find_seen(h, b, path=path).hits.collect()] == [11]
+    _, later = frames(spark, [], [(20, 1, 3), (21, 1, 9), (22, 1, 2)])
+    assert sorted(r.rec_id for r in seen_keys.find_seen(None, later, path=path).hits.collect()) == [20, 22]
+
+
 # Splits -----------------------------------------------------------------------------------------------------------
 
 
@@ -88,8 +136,10 @@ def components_by_hand(edges):
     return {x: find(x) for x in up if find(x) != x}
 
 
+@pytest.mark.parametrize("edges_of_a_task", [500_000, 8])
 @pytest.mark.parametrize("kind", ["random", "chain", "star"])
-def test_components(spark, kind):
+def test_components(spark, kind, edges_of_a_task, monkeypatch):
+    monkeypatch.setattr(union_find, "FOREST_EDGES", edges_of_a_task)  # few: the levels of a forest that no task holds
     coin = random.Random(5)
     if kind == "random":
         edges = [(f"n{coin.randrange(300):03d}", f"n{coin.randrange(300):03d}") for _ in range(200)]
@@ -275,10 +325,20 @@ def test_linkage_of_a_hot_position(spark):
 
 
 def test_weights_tell_agreement_from_chance():
-    patterns = [((True, True, True), 900), ((False, True, True), 50), ((False, False, True), 50)]
-    w = linkage.learn_weights(patterns, [0.5, 0.3, 0.9])
-    assert w.m[0] > 0.9 and w.m[1] > 0.9 and 0.5 < w.prior < 1
-    assert linkage.learn_weights([], [0.5, 0.5, 0.5]).prior == 0.5
+    """Pairs of which half agree in everything shown and half by chance; origins as repeats have them."""
+    import itertools
+
+    coin = random.Random(3)
+    counted = {}
+    for k in range(4000):
+        match = k % 2 == 0
+        flags = tuple(coin.random() < (0.95 if match else 0.3) for _ in linkage.SHOWN) + (coin.random() < (0.7 if match else 0.05), None, None)
+        counted[flags] = counted.get(flags, 0) + 1
+    w = linkage.learn_weights(sorted(counted.items(), key=str), [0.3] * 4 + [0.05, 0.1, 0.2], [(700, 1000), (0, 0), (90, 100)])
+    assert all(m > 0.85 for m in w.m[:4]) and abs(w.m[4] - 0.7) < 0.02 and w.m[5] == 0.5 and 0.35 < w.prior < 0.65
+    scores = [w.odds(dict(zip(linkage.FIELDS, f))) for f in itertools.product([False, True], repeat=7)]
+    assert max(scores) == w.odds(dict.fromkeys(linkage.FIELDS, True)) and w.limit(0.9) <= w.odds(dict.fromkeys(linkage.SHOWN, True))
+
 
 
 # Mixing -----------------------------------------------------------------------------------------------------------

@@ -32,6 +32,8 @@ WORDS = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _SPACE + r"\p{L}\p{N}]+|[" + _SPACE + r"]+(?![^" + _SPACE + r"])|[" + _SPACE + r"]+"
 )
 CACHED_WORDS, CACHED_LENGTH = 300_000, 64
+#: Transitions kept; the table is begun anew beyond, as it can be filled again from the gadgets.
+CACHED_ARCS = 2_000_000
 
 
 def _printable_bytes() -> dict[str, int]:
@@ -125,6 +127,8 @@ class Automaton:
                     key = state << 20 | arc
                     good = table.get(key)
                     if good is None:
+                        if len(table) >= CACHED_ARCS:
+                            table.clear()
                         good = table[key] = self._follows(state, arc)
                     if not good:
                         continue

@@ -43,8 +43,10 @@ NAMES = {
     "ru": ("rus", "russian", "русский"),
 }
 
-#: Labelled documents the field is fitted to, and of each at most so many words.
+#: Labelled documents the field is fitted to, each with its whole text.
 SAMPLE_DOCUMENTS = 3000
+#: Words of a padded batch of lines, and characters up to which a word's features are kept for the next time.
+BATCH_WORDS, CACHED_LENGTH = 20_000, 64
 BITS = 16
 MIN_WORDS = 4
 EPOCHS = 6
@@ -61,7 +63,7 @@ def named_language(lang: Column) -> Column:
     return out
 
 
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _MOJIBAKE = re.compile("[ÂÃÐÑâ][\u0080-¿Œ-™]")
 _BYTES = {bytes([b]).decode("cp1252", "ignore"): b for b in range(128, 256)}
@@ -70,7 +72,7 @@ _TOKEN = re.compile(r"[^\s.,;:!?…]+|[.!?…]+")
 _WORD = re.compile(r"[^\W\d_]+(?:['’‘`´-][^\W\d_]+)*['’]?")
 _INTEGER = re.compile(r"\d+")
 #: A bracket without any word of two small letters (a move, an evaluation) is part of the sentence around it.
-_ASIDE = re.compile(r"\((?:(?![^\W\d_A-Z]{3})[^()\n]){0,40}\)")
+_ASIDE = re.compile(r"\((?:(?![^\W\d_A-Z]{3})[^()\n])*\)")
 _CASTLES = re.compile(r"o-o(?:-o)?")
 
 
@@ -125,14 +127,14 @@ def _features(word: str) -> np.ndarray:
     """Places of the word's features in the table of weights."""
     got = _FEATURES.get(word)
     if got is None:
-        short = word[:40]
-        names = ["w:" + short] + [f"p:{short[:n]}" for n in (1, 2, 3) if len(short) > n] + [f"s:{short[-n:]}" for n in (1, 2, 3, 4) if len(short) > n]
-        ends = f"^{short}$"
+        names = ["w:" + word] + [f"p:{word[:n]}" for n in (1, 2, 3) if len(word) > n] + [f"s:{word[-n:]}" for n in (1, 2, 3, 4) if len(word) > n]
+        ends = f"^{word}$"
         names += [f"t:{ends[i : i + 3]}" for i in range(len(ends) - 2)]
         got = np.unique(np.array([zlib.crc32(n.encode()) & ((1 << BITS) - 1) for n in names]))
         if len(_FEATURES) > 500_000:
             _FEATURES.clear()
-        _FEATURES[word] = got
+        if len(word) <= CACHED_LENGTH:
+            _FEATURES[word] = got
     return got
 
 
@@ -151,35 +153,43 @@ class Field:
         if got is None:
             if len(self.cache) > 500_000:
                 self.cache.clear()
-            got = self.cache[word] = self.emit[_features(word)].sum(0)
+            got = self.emit[_features(word)].sum(0)
+            if len(word) <= CACHED_LENGTH:
+                self.cache[word] = got
         return got
 
     def posterior(self, score: np.ndarray, fresh: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward-backward over padded sequences (n, length, languages); ``fresh`` marks first words of sentences.
 
-        Gives the posteriors of words, and the expected transitions within and between sentences.
+        Gives the posteriors of words, and both messages: the one from the words before and the one from those after.
+        Only vectors are kept for a word, so a sequence may be as long as a text.
         """
         n, length, k = score.shape
-        peak = score.max(2, keepdims=True)
-        local = np.exp(score - peak)
-        both = np.exp(np.stack([self.inside, self.between]))
-        step = both[fresh.astype(int)]  # (n, length, k, k): from the word before
+        local = np.exp(score - score.max(2, keepdims=True))
+        inside, between = np.exp(self.inside), np.exp(self.between)
+        first = fresh[:, :, None]
         ahead, back = np.empty((n, length, k)), np.ones((n, length, k))
         ahead[:, 0] = local[:, 0] / local[:, 0].sum(1, keepdims=True)
         for t in range(1, length):
-            a = np.einsum("nk,nkj->nj", ahead[:, t - 1], step[:, t]) * local[:, t]
+            before = ahead[:, t - 1]
+            a = np.where(first[:, t], before @ between, before @ inside) * local[:, t]
             ahead[:, t] = a / a.sum(1, keepdims=True)
         for t in range(length - 2, -1, -1):
-            b = np.einsum("nkj,nj->nk", step[:, t + 1], local[:, t + 1] * back[:, t + 1])
-            b /= b.sum(1, keepdims=True)
-            back[:, t] = np.where(mask[:, t + 1, None], b, 1.0)
+            after = local[:, t + 1] * back[:, t + 1]
+            b = np.where(first[:, t + 1], after @ between.T, after @ inside.T)
+            back[:, t] = np.where(mask[:, t + 1, None], b / b.sum(1, keepdims=True), 1.0)
         word = ahead * back
         word /= word.sum(2, keepdims=True)
-        moves = ahead[:, :-1, :, None] * step[:, 1:] * (local[:, 1:] * back[:, 1:])[:, :, None, :]
+        return word, ahead, local * back
+
+    def transitions(self, ahead: np.ndarray, after: np.ndarray, fresh: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The expected transitions within and between sentences, from the messages of ``posterior``."""
+        step = np.exp(np.stack([self.inside, self.between]))[fresh[:, 1:].astype(int)]
+        moves = ahead[:, :-1, :, None] * step * after[:, 1:, None, :]
         moves /= np.maximum(moves.sum((2, 3), keepdims=True), 1e-300)
         moves *= mask[:, 1:, None, None]
         later = fresh[:, 1:, None, None]
-        return word, (moves * ~later).sum((0, 1)), (moves * later).sum((0, 1))
+        return (moves * ~later).sum((0, 1)), (moves * later).sum((0, 1))
 
 
 def _padded(lines: list[tuple[list[str], list[bool]]], emission) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,12 +232,11 @@ def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 256, rat
     field, k = Field(), len(LANGUAGES)
     lines: list[tuple[list[str], list[bool], list[int]]] = []
     for doc in _relabelled(docs):
-        # consecutive sentences of a document make one sequence, of at most about 60 words
+        # consecutive sentences of a document make sequences of about 60 words; a longer sentence is one by itself
         words: list[str] = []
         fresh: list[bool] = []
         gold: list[int] = []
         for _, s, y in doc:
-            s = s[:60]
             if words and len(words) + len(s) > 60:
                 lines.append((words, fresh, gold))
                 words, fresh, gold = [], [], []
@@ -241,10 +250,17 @@ def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 256, rat
     for _ in range(epochs):
         order = coin.permutation(len(lines))
         order = order[np.argsort([len(lines[i][0]) // 8 for i in order], kind="stable")]
-        starts = np.arange(0, len(order), batch)
-        coin.shuffle(starts)
-        for start in starts:
-            some = [lines[i] for i in order[start : start + batch]]
+        batches: list[list[int]] = [[]]
+        widest = 0
+        for i in order:
+            widest = max(widest, len(lines[i][0]))
+            if batches[-1] and (len(batches[-1]) == batch or widest * (len(batches[-1]) + 1) > BATCH_WORDS):
+                batches.append([])
+                widest = len(lines[i][0])
+            batches[-1].append(i)
+        coin.shuffle(batches)
+        for chosen in batches:
+            some = [lines[i] for i in chosen]
             types: dict[str, int] = {}
             places = [[types.setdefault(w, len(types)) for w in words] for words, _, _ in some]
             feats = [_features(w) for w in types]
@@ -252,7 +268,8 @@ def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 256, rat
             ends = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
             table = np.add.reduceat(field.emit[flat].astype(float), ends, axis=0)
             score, fresh, mask = _padded([(p, f) for p, (_, f, _) in zip(places, some)], lambda t, table=table: table[t])
-            word, inside, between = field.posterior(score, fresh, mask)
+            word, ahead, after = field.posterior(score, fresh, mask)
+            inside, between = field.transitions(ahead, after, fresh, mask)
             gold = np.zeros_like(word)
             for i, (_, _, y) in enumerate(some):
                 gold[i, np.arange(len(y)), y] = 1
@@ -285,29 +302,24 @@ def segments(field: Field, texts: Iterable[str | None]) -> list[list[tuple[int,
             continue
         last = None
         for line, words, ended in sentences(text):
-            if last != line or len(lines[-1][0]) + len(words) > 400:
+            if last != line:
                 lines.append(([], []))
                 last = line
             have = lines[-1]
-            for at in range(0, len(words), 400):  # a very long sentence is cut for the lattice only, not for the result
-                part = words[at : at + 400]
-                if at:
-                    lines.append(([], []))
-                    have = lines[-1]
-                spans.append((d, len(lines) - 1, len(have[0]), len(have[0]) + len(part), ended))
-                have[1].extend([bool(have[0])] + [False] * (len(part) - 1))
-                have[0].extend(part)
+            spans.append((d, len(lines) - 1, len(have[0]), len(have[0]) + len(words), ended))
+            have[1].extend([bool(have[0])] + [False] * (len(words) - 1))
+            have[0].extend(words)
     posts: list[np.ndarray | None] = [None] * len(lines)
     order = sorted(range(len(lines)), key=lambda i: len(lines[i][0]))
     at = 0
     while at < len(order):
-        longest = len(lines[order[min(len(order) - 1, at + 511)]][0])
-        size = max(1, min(512, 20_000 // max(1, longest)))
-        some = order[at : at + size]
+        some = [order[at]]  # lines of like length, as many as fill a batch
+        while len(some) < 512 and at + len(some) < len(order) and len(lines[order[at + len(some)]][0]) * (len(some) + 1) <= BATCH_WORDS:
+            some.append(order[at + len(some)])
         word, _, _ = field.posterior(*_padded([lines[i] for i in some], field.emission))
         for i, p in zip(some, word):
             posts[i] = p[: len(lines[i][0])]
-        at += size
+        at += len(some)
     out: list[list[tuple[int, str, float, int, bool]]] = []
     numbers: dict[int, int] = defaultdict(int)
     result: dict[int, list] = defaultdict(list)
@@ -330,8 +342,8 @@ SEGMENT = "array<struct<sentence:int,lang:string,confidence:double,words:int,who
 
 
 def train(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> Field:
-    """Fit to at most ``documents`` labelled documents (doc_id, text, lang), those of the smallest hashes; 0 is none."""
-    named = docs.select("doc_id", "text", named_language(F.col("lang")).alias("lang")).filter("lang is not null and length(text) between 40 and 20000")
+    """Fit to at most ``documents`` labelled documents (doc_id, text, lang), whole, those of the smallest hashes; 0 is none."""
+    named = docs.select("doc_id", "text", named_language(F.col("lang")).alias("lang")).filter("lang is not null and text is not null")
     rows = named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(documents).collect()
     return fit([(r.text, LANGUAGES.index(r.lang)) for r in rows])
 

@@ -1,7 +1,7 @@
 """Sample matching target category proportions, by swap repair on signature counts.
 
 Rows of a pool are grouped by category signature; only counts leave the rows. For each plan: start from a random
-sample that satisfies the floors (a multivariate hypergeometric draw of counts), exchange counts between signatures
+sample that satisfies the floors (above them counts are drawn in proportion to what is left), exchange counts between signatures
 while that lowers the deviation from the targets, then materialise by taking that many rows of each signature at
 random (smallest seeded hashes). Strata that cannot reach their target or floor are reported.
 
@@ -34,14 +34,10 @@ def repair(available: np.ndarray, share: np.ndarray, floor: np.ndarray, size: in
         for k in np.argsort(-(exact - cut), kind="stable")[: size - cut.sum()]:
             cut[k] += 1
         floor = cut
-    rest = (available - floor).astype(np.int64)
-    if rest.sum() < 1_000_000_000:
-        extra = rng.multivariate_hypergeometric(rest, size - floor.sum())
-    else:  # beyond what the exact draw supports, its limit
-        extra = np.minimum(rng.multinomial(size - floor.sum(), rest / rest.sum()), rest)
-    x = floor + extra
-    while x.sum() < size:
-        x[np.argmax(available - x)] += 1
+    x = floor.copy()
+    while (left := size - x.sum()) > 0:  # what a signature cannot give is drawn again from the others
+        room = available - x
+        x += np.minimum(rng.multinomial(left, room / room.sum()), room)
     total = share.sum()
     want = share * (size / total) if total > 0 else x.astype(float)
     while True:

@@ -124,7 +124,17 @@ class Sketch:
         return sketch
 
 
+#: Sketches a task holds before it hands them on and begins others: bounds its memory where groups are many.
+HELD_SKETCHES = 20_000
+
+
 def _sketch_partition(keys: list[str], fields: list[str]):
+    kinds = [pa.string()] * (len(keys) + 1) + [pa.bool_(), pa.int32(), pa.binary()]
+
+    def handed_on(sketches: dict[tuple, Sketch], part: int) -> pa.RecordBatch:
+        rows = [(*(None if g is None or g != g else g for g in k[:-2]), k[-2], k[-1], part, s.to_bytes()) for k, s in sketches.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[*keys, "field", "high", "part", "sketch"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -143,11 +153,11 @@ def _sketch_partition(keys: list[str], fields: list[str]):
                             if key not in sketches:
                                 sketches[key] = Sketch(high, seed=part + 1)
                             sketches[key].update(values)
-        rows = [(*(None if g is None or g != g else g for g in k[:-2]), k[-2], k[-1], part, s.to_bytes()) for k, s in sketches.items()]
-        if rows:
-            columns = list(zip(*rows))
-            kinds = [pa.string()] * (len(keys) + 1) + [pa.bool_(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=[*keys, "field", "high", "part", "sketch"])
+            if len(sketches) > HELD_SKETCHES:
+                yield handed_on(sketches, part)
+                sketches = {}
+        if sketches:
+            yield handed_on(sketches, part)
 
     return run
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from plyforge import session
 from plyforge.llm.union_find import components
-from plyforge.operators.skew import bucket_count, hot_join, numbered
+from plyforge.operators.skew import HOT_SHARE, bucket_count, hot_join, numbered
 
 SPLITS = ("train", "val", "test")
 #: Largest plan (a row for each seed, size and split) that is broadcast; above it the join is an ordinary one.
@@ -88,20 +88,29 @@ def assign(group_sizes: DataFrame, configs: list[dict]) -> DataFrame:
     sized = session.cut(group_sizes.select("group_id", "n"), "group-sizes")
     histogram = sorted(((r.n, r.c) for r in sized.groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
     rows = []
+    alike = dict(histogram)
     for config in configs:
         start = {size: 0 for size, _ in histogram}
         for size, given in quotas(histogram, [float(config[s] or 0.0) for s in SPLITS]):
             for split, count in zip(SPLITS, given):
                 if count:
-                    rows.append((config["seed"], size, start[size], start[size] + count, split))
+                    rows.append((config["seed"], size, start[size], start[size] + count, split, alike[size]))
                     start[size] += count
-    plan = spark.createDataFrame(rows, "seed bigint, n bigint, low bigint, high bigint, split string")
+    plan = spark.createDataFrame(rows, "seed bigint, n bigint, low bigint, high bigint, split string, alike bigint")
     seeds = F.array(*[F.lit(c["seed"]).cast("bigint") for c in configs])
     drawn = sized.withColumn("seed", F.explode(seeds)).withColumn("salt", F.xxhash64("seed", "group_id"))
     buckets = bucket_count(sum(c for _, c in histogram))
     ranked = numbered(drawn, ["seed", "n"], [F.col("salt"), F.col("group_id")], buckets, F.col("salt"))
-    on = (ranked.seed == plan.seed) & (ranked.n == plan.n) & (ranked.place >= plan.low) & (ranked.place < plan.high)
-    return ranked.join(F.broadcast(plan) if len(rows) <= PLAN_ROWS else plan, on).select(ranked.seed, "group_id", ranked.n, "split")
+    inside = (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))
+    out = ["seed", "group_id", "n", "split"]
+    if len(rows) <= PLAN_ROWS:
+        return ranked.join(F.broadcast(plan), ["seed", "n"]).filter(inside).select(out)
+    # of a larger plan only the sizes that many groups have are broadcast (fewer than HOT_SHARE for a seed), so none is a hot key
+    many = F.col("alike") > max(1, sum(alike.values()) // HOT_SHARE)
+    hot = plan.filter(many)
+    near = ranked.join(F.broadcast(hot), ["seed", "n"]).filter(inside).select(out)
+    rest = ranked.join(F.broadcast(hot.select("seed", "n").distinct()), ["seed", "n"], "left_anti")
+    return near.unionByName(rest.join(plan.filter(~many), ["seed", "n"]).filter(inside).select(out))
 
 
 def split_records(records: DataFrame, groups: DataFrame, configs: list[dict]) -> DataFrame:

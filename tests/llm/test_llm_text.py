@@ -136,3 +136,38 @@ def test_labels_name_languages(spark):
 def test_training_on_nothing(spark):
     docs = spark.createDataFrame([(1, "some words without a label here", None)], "doc_id bigint, text string, lang string")
     assert language.label_documents(docs).count() == 1
+
+
+def long_text(words, seed=5):
+    coin = random.Random(seed)
+    vocabulary = "the game was drawn after a long endgame in which white could not make progress because black kept the rook active".split()
+    return " ".join(coin.choice(vocabulary) for _ in range(words)) + "."
+
+
+@pytest.mark.parametrize("words", [450, 5000, 60_000])
+def test_a_long_sentence_is_one(field, words):
+    """However long, a sentence is one with one number, and its words have the posteriors of one lattice."""
+    (got,) = language.segments(field, [long_text(words)])
+    assert sum(s[3] for s in got) == words and {s[0] for s in got} == {1} and got[0][1] == "en"
+    assert all(s[4] for s in got if s[3] == words)
+
+
+def test_messages_do_not_depend_on_padding(field):
+    """Posteriors of a batch of lines of different lengths equal those of each line by itself, to 1e-9."""
+    import numpy as np
+
+    texts = [long_text(n, n).rstrip(".").split() for n in (3, 40, 700, 2500)]
+    lines = [(w, [i > 0 and i % 9 == 0 for i in range(len(w))]) for w in texts]
+    together, *_ = field.posterior(*language._padded(lines, field.emission))
+    for k, line in enumerate(lines):
+        alone, *_ = field.posterior(*language._padded([line], field.emission))
+        assert np.abs(together[k, : len(line[0])] - alone[0]).max() < 1e-9
+
+
+def test_long_words_tags_and_asides_are_taken_whole(field):
+    tag = "<a href='" + "x" * 5000 + "'>"
+    assert language.clean(f"one {tag} two").split() == ["one", "two"]
+    (sentence,) = list(language.sentences("Black was better (" + "12. Qd4 +0.31 " * 30 + ") in the final position."))
+    assert sentence[1] == ["black", "was", "better", "in", "the", "final", "position"] and sentence[2]
+    a, b = "a" * 40 + "ing" * 50, "a" * 40 + "ung" * 50
+    assert len(set(language._features(a)) ^ set(language._features(b))) > 4

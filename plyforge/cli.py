@@ -27,6 +27,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("dumps", nargs="*", help="name=path of each dump; by default those of the settings")
         c.add_argument("--min-elo", type=int)
         c.add_argument("--max-games", type=int, default=0)
+        c.add_argument("--max-scanned", type=int, default=0)
+        c.add_argument("--target-positions", type=int)
+        c.add_argument("--dump", action="append", help="only these dumps of the settings")
+        c.add_argument("--depth", type=int)
+        c.add_argument("--workers", type=int)
         c.add_argument("--max-shards", type=int)
         c.add_argument("--out")
     v = commands.add_parser("validate")
@@ -44,6 +49,11 @@ def settings(args: argparse.Namespace) -> DatasetConfig:
     cfg = DatasetConfig.from_yaml(args.config) if args.config else DatasetConfig()
     if getattr(args, "min_elo", None) is not None:
         cfg = dataclasses.replace(cfg, filter=dataclasses.replace(cfg.filter, min_elo=args.min_elo))
+    told = {k: getattr(args, k, None) for k in ("depth", "workers")} if args.command in ("survey", "build") else {}
+    if any(v is not None for v in told.values()):
+        cfg = dataclasses.replace(cfg, labeling=dataclasses.replace(cfg.labeling, **{k: v for k, v in told.items() if v is not None}))
+    if getattr(args, "dump", None):
+        cfg = dataclasses.replace(cfg, source=dataclasses.replace(cfg.source, dumps=tuple(args.dump)))
     if getattr(args, "out", None):
         out = Path(args.out)
         cfg = dataclasses.replace(cfg, output=dataclasses.replace(cfg.output, local_dir=str(out / "shards"), extract_dir=str(out / "extracts"), state_path=str(out / "state.json")))
@@ -80,9 +90,10 @@ def main(argv: list[str] | None = None) -> int:
             print(f"{r.dump}: {r.games_accepted} of {r.games_seen} games accepted ({r.acceptance_rate:.2%})")
         return 0
     version = label.engine_version(cfg.labeling)
-    report = build.run_build(spark, cfg, lambda fens: label.scored(fens, cfg.labeling), version, sources, args.max_shards)
+    report = build.run_build(spark, cfg, lambda fens: label.scored(fens, cfg.labeling), version, sources, args.max_shards, args.target_positions, max_games=args.max_games, max_scanned=args.max_scanned)
     for r in report.collect():
-        print(f"{r.dump} shard {r.shard}: {r.n_positions} positions of {r.n_games} games")
+        print(f"{r.dump} shard {r.shard}: {r.n_positions} positions of {r.n_games} games, {r.n_duplicates} duplicates")
+    print(build.summary(report).first().summary)
     return 0
 
 

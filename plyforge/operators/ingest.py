@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plyforge.config import FilterConfig, SamplingConfig
 from plyforge.functions import keys, refs, rules
+from plyforge.operators.skew import bucket_count, numbered
 
 
 def elo(text: Column) -> Column:
@@ -41,8 +42,8 @@ def scan_stats(games: DataFrame, cfg: FilterConfig | None = None, by: tuple[str,
     return n.withColumn("acceptance_rate", F.coalesce(F.try_divide(F.col("games_accepted").cast("double"), F.col("games_seen")), F.lit(0.0)))
 
 
-def survey_text(stats: DataFrame) -> DataFrame:
-    return stats.select(F.format_string("%d of %d games accepted (%.2f %%)", "games_accepted", "games_seen", F.col("acceptance_rate") * 100).alias("summary"))
+def survey_text(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    return stats.select(*by, F.format_string("%d of %d games accepted (%.2f %%)", "games_accepted", "games_seen", F.col("acceptance_rate") * 100).alias("summary"))
 
 
 def extract(games: DataFrame, path: str, cfg: FilterConfig | None = None) -> DataFrame:
@@ -118,14 +119,16 @@ def sampled_positions(games: DataFrame, sampling: SamplingConfig | None = None,
 
 
 def numbered_batches(df: DataFrame, seed: int, epoch: int, key: str, size: int) -> DataFrame:
-    """Rows with ``batch``: an order shuffled by (seed, epoch), cut into batches of about ``size`` by hash slots.
+    """Rows with ``batch`` and ``place``: an order shuffled by (seed, epoch) and cut into batches of exactly ``size`` (the last
+    may be smaller); within a batch rows are placed from 0 in the order of ``key``, as a reader likes them.
 
-    Slots of the hash are dealt to batches as wholes, so no global sort is needed.
+    The shuffled order is a distributed numbering; only a batch is ever sorted as a whole.
     """
-    total = df.count()
-    batches = max(1, -(-total // size))
-    h = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))
-    return df.withColumn("batch", F.pmod(h, F.lit(batches)))
+    salt = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))
+    shuffled = numbered(df.withColumns({"_all": F.lit(0), "_salt": salt}), ["_all"], [F.col("_salt"), F.col(key)], bucket_count(df.count()), F.col("_salt"), "_at")
+    cut = shuffled.withColumn("batch", F.floor(F.col("_at") / size))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy(key)) - 1
+    return cut.withColumn("place", place).drop("_all", "_salt", "_at")
 
 
 def top_by(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

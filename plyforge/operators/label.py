@@ -71,6 +71,13 @@ class Engine:
                 return cp, mate, line.split()[1]
         raise EngineNotAvailableError("the engine ended")
 
+    def best(self, fen: str, limit: str) -> str:
+        """The move the engine plays, whether it tells a score or not."""
+        self.send(f"position fen {fen}")
+        self.send(f"go {limit}")
+        *_, last = self.until("bestmove")
+        return last.split()[1]
+
     def close(self) -> None:
         try:
             self.send("quit")

@@ -78,6 +78,11 @@ def best_epochs(epochs: DataFrame) -> DataFrame:
     return epochs.groupBy("run_name").agg(F.min_by(F.struct("epoch", "val_rmse"), F.struct("val_rmse", "epoch")).alias("b")).select("run_name", "b.*")
 
 
+def overfit_ratios(epochs: DataFrame) -> DataFrame:
+    """Every epoch with squared validation RMSE over training loss; null where the loss is zero."""
+    return epochs.withColumn("ratio", F.try_divide(F.pow("val_rmse", F.lit(2.0)), F.col("train_loss")))
+
+
 def diagnosis(epochs: DataFrame) -> DataFrame:
     """Each run's last epoch: squared validation RMSE over training loss, and a verdict."""
     last = epochs.groupBy("run_name").agg(F.max_by(F.struct("epoch", "train_loss", "val_rmse"), "epoch").alias("l")).select("run_name", "l.*")

@@ -103,7 +103,8 @@ def match_text(stats: DataFrame, by: list[str]) -> DataFrame:
     diff = F.when(F.col("elo_difference") == float("inf"), "+inf").when(F.col("elo_difference") == float("-inf"), "-inf")
     line = F.concat(
         F.format_string("%d games: +%d =%d -%d (%.1f %% / %.1f %% / %.1f %%), rate %.3f", "n", "won", "drawn", "lost", *[100 * F.col(c) / F.col("n") for c in ("won", "drawn", "lost")], "score_rate"),
-        F.coalesce(F.format_string(" +- %.3f", "margin"), F.lit("")), F.lit(", Elo "), F.coalesce(diff, F.format_string("%+.0f", "elo_difference"), F.lit("unknown")),
+        F.when(F.col("margin").isNotNull(), F.format_string(" +- %.3f", "margin")).otherwise(""), F.lit(", Elo "),
+        F.coalesce(diff, F.when(F.col("elo_difference").isNotNull(), F.format_string("%+.0f", "elo_difference")), F.lit("unknown")),
         F.when(F.col("unfinished") > 0, F.format_string(", %d unfinished", "unfinished")).otherwise(""),
     )
     return stats.select(*by, F.when(F.col("n") > 0, line).otherwise("no games").alias("summary"))

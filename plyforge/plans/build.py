@@ -6,13 +6,14 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge import session
 from plyforge.config import DatasetConfig
 from plyforge.functions import refs
 from plyforge.operators import ingest, label
+from plyforge.operators.skew import sequenced
 from plyforge.sources import pgn, shards
 
 Labeler = Callable[[DataFrame], DataFrame]
@@ -32,7 +33,7 @@ class DumpState:
 
 @dataclass
 class PipelineState:
-    """How far each dump is; a small JSON file that is replaced in one step."""
+    """How far each dump is: a small JSON file, of which each change is a new version."""
 
     path: str
     dumps: dict[str, DumpState] = field(default_factory=dict)
@@ -53,17 +54,24 @@ class PipelineState:
         return sum(d.positions_written for d in self.dumps.values())
 
 
+def extract_name(dump: str) -> str:
+    """The file of a dump's accepted games."""
+    return f"{dump}.parquet"
+
+
 def games_of(raw: DataFrame) -> DataFrame:
     """Games of ``pgn.read`` with flat headers and a game id: the last part of the site, or the site itself."""
     return pgn.flat(raw).withColumn("game_id", F.coalesce(refs.game_ref(F.col("site")), F.element_at(F.split("site", "/"), -1), F.lit("")))
 
 
-def pending(games: DataFrame, cfg: DatasetConfig, seen: DataFrame) -> DataFrame:
+def pending(games: DataFrame, cfg: DatasetConfig, seen: DataFrame, drawn: DataFrame | None = None) -> DataFrame:
     """New sampled positions of accepted games (game_seq numbered within the dump), with the game's columns.
 
     A position already in ``seen`` (pos_key) is dropped, as are all but its first occurrence in the order of games.
+    ``drawn`` are the sampled positions where they are at hand.
     """
-    drawn = session.cut(ingest.sampled_positions(games, cfg.sampling, cfg.filter.min_plies), "sampled")
+    if drawn is None:
+        drawn = session.cut(ingest.sampled_positions(games, cfg.sampling, cfg.filter.min_plies), "sampled")
     fresh = ingest.unseen(ingest.first_of_key(drawn, "pos_key", ["game_seq", "ply"]), seen, "pos_key")
     rating = lambda c: F.coalesce(ingest.elo(F.col(c)), F.lit(0)).cast("smallint")
     about = games.select(
@@ -73,62 +81,93 @@ def pending(games: DataFrame, cfg: DatasetConfig, seen: DataFrame) -> DataFrame:
     return fresh.drop("n_plies").join(about, "game_seq")
 
 
-def build_shards(games: DataFrame, cfg: DatasetConfig, dump: str, labeler: Labeler, version: str, first_shard: int = 0) -> DataFrame:
-    """Label and write the positions of ``games``; returns games, positions for each shard."""
-    spark = games.sparkSession
-    out = cfg.output.local_dir
-    rows = pending(games, cfg, shards.seen_keys(spark, out))
-    rows = rows.withColumn("shard", ingest.shard_of(F.col("game_seq"), cfg.output.games_per_shard))
-    rows = session.cut(rows.filter(F.col("shard") >= first_shard), "pending")
+def extract_once(spark: SparkSession, path: str, place: str, cfg: DatasetConfig, max_games: int = 0, max_scanned: int = 0) -> tuple[int, int]:
+    """Write the accepted games of a dump to ``place``; gives the games seen and accepted. The dump is read once.
+
+    The reader leaves out the movetext of games it rejects; the same conditions as columns decide what is written.
+    """
+    seen, kept = Observation(), Observation()
+    raw = games_of(pgn.read(spark, path, max_games=max_games, max_scanned=max_scanned, accept=cfg.filter)).observe(seen, F.count(F.lit(1)).alias("n"))
+    good = raw.filter(ingest.accepts(cfg.filter)).observe(kept, F.count(F.lit(1)).alias("n"))
+    good.write.mode("overwrite").option("compression", "zstd").parquet(place)
+    return seen.get["n"], kept.get["n"]
+
+
+def build_shards(rows: DataFrame, drawn: DataFrame, cfg: DatasetConfig, dump: str, labeler: Labeler, version: str) -> list[Row]:
+    """Label and write the shards of ``rows``; (shard, n_games, n_positions, n_duplicates) of each, told from ``drawn``."""
     full = label.attach(rows, labeler(rows.select("fen")), cfg.normalization).withColumns(
         {"sf_depth": F.lit(cfg.labeling.depth).cast("smallint"), "sf_version": F.lit(version), "src_dump": F.lit(dump)}
     )
     full = session.cut(full, "labelled")
-    shards.write(full, out)
-    return full.groupBy("shard").agg(F.count(F.lit(1)).alias("n_positions"), F.count_distinct("game_seq").alias("n_games"))
-
-
-def run_build(spark: SparkSession, cfg: DatasetConfig, labeler: Labeler, version: str, sources: dict[str, str] | None = None, max_shards: int | None = None) -> DataFrame:
-    """Build all shards that are still missing (``max_shards`` at most per dump); the state advances after each is written.
-
-    ``sources`` maps dumps to PGN paths. Each shard sees the keys of all shards before it, so a position is published
-    once however the work is cut.
+    shards.write(full, cfg.output.local_dir)
+    made = full.groupBy("shard").agg(F.count(F.lit(1)).alias("n_positions"), F.count_distinct("game_seq").alias("n_games"))
+    fresh = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("fresh"))
+    every = drawn.groupBy("shard").agg(F.count(F.lit(1)).alias("drawn")).join(fresh, "shard", "left").join(made, "shard", "left").na.fill(0)
+    done = every.select("shard", "n_games", "n_positions", (F.col("drawn") - F.col("fresh")).alias("n_duplicates")).collect()
+    session.release(full)
+    return done
+
+
+def run_build(
+    spark: SparkSession, cfg: DatasetConfig, labeler: Labeler, version: str, sources: dict[str, str] | None = None, max_shards: int | None = None,
+    target_positions: int | None = None, shards_per_commit: int = 64, max_games: int = 0, max_scanned: int = 0,
+) -> DataFrame:
+    """Build all shards that are still missing; the state advances after each ``shards_per_commit`` of them are written.
+
+    ``sources`` maps dumps to PGN paths. ``max_shards`` bounds the shards of a dump; with ``target_positions`` the build
+    ends with the group of shards that reaches it. The keys published before are read once; positions of all pending
+    shards of a dump are sampled and told apart at once, so each is published once however the work is cut. Returns
+    (dump, shard, n_games, n_positions, n_duplicates).
     """
     sources = sources or {d: cfg.source.dump_url(d) for d in cfg.source.dumps}
     state = PipelineState.load(spark, cfg.output.state_path)
-    report = []
+    per, report, seen = cfg.output.games_per_shard, [], None
+    reached = lambda: target_positions is not None and state.total_positions >= target_positions
     for dump, path in sources.items():
         progress = state.for_dump(dump)
-        place = f"{cfg.output.extract_dir}/{dump}.parquet"
+        place = f"{cfg.output.extract_dir}/{extract_name(dump)}"
         if not (progress.extracted and session.exists(spark, place)):
-            raw = games_of(pgn.read(spark, path))
-            kept = ingest.extract(raw, place, cfg.filter)
-            progress.games_seen, progress.games_accepted, progress.extracted = raw.count(), kept.count(), True
+            progress.games_seen, progress.games_accepted = extract_once(spark, path, place, cfg, max_games, max_scanned)
+            progress.extracted = True
             state.save(spark)
-        order = spark.read.parquet(place)
-        per = cfg.output.games_per_shard
-        # accepted games are renumbered in dump order; ranks come from counts per block of the file, not a global sort
-        blocks = order.groupBy(F.floor(F.col("game_seq") / 100_000).alias("block")).agg(F.count(F.lit(1)).alias("n"))
-        before = blocks.select("block", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-        inner = Window.partitionBy("block").orderBy("game_seq")
-        games = order.withColumn("block", F.floor(F.col("game_seq") / 100_000)).join(before, "block")
-        games = session.cut(games.withColumn("game_seq", F.col("before") + F.row_number().over(inner)).drop("block", "before"), "games")
         total = -(-progress.games_accepted // per)
         stop = total if max_shards is None else min(total, progress.shards_done + max_shards)
-        for shard in range(progress.shards_done, stop):
-            low = shard * per
-            done = build_shards(games.filter(F.col("game_seq").between(low + 1, low + per)), cfg, dump, labeler, version, shard).collect()
-            progress.shards_done = shard + 1
-            progress.positions_written += sum(r.n_positions for r in done)
+        if progress.shards_done >= stop or reached():
+            continue
+        if seen is None:
+            seen = session.cut(shards.seen_keys(spark, cfg.output.local_dir).distinct(), "published")
+        ordered = sequenced(spark.read.parquet(place), "game_seq", "_rank")
+        wanted = F.col("_rank").between(progress.shards_done * per + 1, stop * per)
+        games = session.cut(ordered.filter(wanted).withColumn("game_seq", F.col("_rank")).drop("_rank"), "games")
+        shard = ingest.shard_of(F.col("game_seq"), per)
+        drawn = session.cut(ingest.sampled_positions(games, cfg.sampling, cfg.filter.min_plies).withColumn("shard", shard), "sampled")
+        rows = session.cut(pending(games, cfg, seen, drawn.drop("shard")).withColumn("shard", shard), "pending")
+        for low in range(progress.shards_done, stop, shards_per_commit):
+            high = min(stop, low + shards_per_commit)
+            part = F.col("shard").between(low, high - 1)
+            done = {r.shard: r for r in build_shards(rows.filter(part), drawn.filter(part), cfg, dump, labeler, version)}
+            progress.shards_done = high
+            progress.positions_written += sum(r.n_positions for r in done.values())
             state.save(spark)
-            report += [(dump, shard, sum(r.n_games for r in done), sum(r.n_positions for r in done))]
-    return spark.createDataFrame(report, "dump string, shard int, n_games bigint, n_positions bigint")
+            report += [(dump, k, done[k].n_games, done[k].n_positions, done[k].n_duplicates) if k in done else (dump, k, 0, 0, 0) for k in range(low, high)]
+            if reached():
+                break
+        seen = session.cut(seen.unionByName(rows.select("pos_key")).distinct(), "published", replaces=seen)
+        for df in (games, drawn, rows):
+            session.release(df)
+    return spark.createDataFrame(report, "dump string, shard int, n_games bigint, n_positions bigint, n_duplicates bigint")
+
+
+def summary(report: DataFrame) -> DataFrame:
+    """One line on a build: shards, positions, duplicates."""
+    t = report.agg(F.count(F.lit(1)).alias("s"), F.coalesce(F.sum("n_positions"), F.lit(0)).alias("p"), F.coalesce(F.sum("n_duplicates"), F.lit(0)).alias("d"))
+    return t.select(F.format_string("%d shards, %d positions, %d duplicates left out", "s", "p", "d").alias("summary"))
 
 
 def survey(spark: SparkSession, cfg: DatasetConfig, sources: dict[str, str], max_games: int = 0) -> DataFrame:
-    """(dump, games_seen, games_accepted, acceptance_rate): headers only, nothing is written."""
+    """(dump, games_seen, games_accepted, acceptance_rate) of all games, or the first ``max_games``; nothing is written."""
     out = None
     for dump, path in sources.items():
-        stats = ingest.scan_stats(pgn.flat(pgn.read(spark, path, max_games=max_games)), cfg.filter).withColumn("dump", F.lit(dump))
+        stats = ingest.scan_stats(pgn.flat(pgn.read(spark, path, max_scanned=max_games, accept=cfg.filter)), cfg.filter).withColumn("dump", F.lit(dump))
         out = stats if out is None else out.unionByName(stats)
     return out

@@ -98,19 +98,18 @@ def games_of_part(path: str, start: int, end: int, wanted: Callable[[dict[str, s
         with open(path, "rb") as file:
             at = max(0, start - LOOK_BACK)
             file.seek(at)
+            moves = False  # whether movetext stands between this line and the header line before
             if at:
                 skipped = file.readline()
                 at += len(skipped)
                 if at > start:  # a line longer than the look-back is movetext
                     yield start - 1, "-\n"
-            last = False  # once past the end: the first header line after movetext ends the last game
-            moves = False
+                    moves = True
             for raw in file:
                 text = raw.decode("utf-8", "replace")
                 head = text.startswith("[")
-                if at >= end and head and (moves or last):
-                    return
-                last = at >= end
+                if at >= end and head and moves:
+                    return  # the next part's first game
                 moves = (moves and not head) or (not head and bool(text.strip()))
                 yield at, text
                 at += len(raw)

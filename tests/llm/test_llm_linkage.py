@@ -104,7 +104,7 @@ def test_a_key_whose_text_arrives_later_is_compared(spark, weights, flush):
 def test_weights_are_learned_from_all_pairs_of_history(spark, monkeypatch):
     counted = []
     monkeypatch.setattr(linkage, "learn_weights", lambda patterns, *_: counted.extend(patterns) or WEIGHTS)
-    texts = [fen(1, "w", "K")] * 3 + [fen(1, "b", "K")] * 2 + [fen(1, "b", "Q")] + [fen(2, "w", "K")]
+    texts = [fen(1, "w", "K")] * 3 + [fen(1, "b", "K")] * 2 + [fen(1, "b", "Q")] + [fen(3, "w", "K")]
     linkage.link(*given(spark, [], texts))
     # each two identities once, their repeats left out; the two boards are a pawn apart with the same side and rights
     of = {}

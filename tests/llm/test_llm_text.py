@@ -139,9 +139,9 @@ def test_training_on_nothing(spark):
 
 
 def long_text(words, seed=5):
-    coin = random.Random(seed)
-    vocabulary = "the game was drawn after a long endgame in which white could not make progress because black kept the rook active".split()
-    return " ".join(coin.choice(vocabulary) for _ in range(words)) + "."
+    """One sentence of the words the field was fitted to, in the order of its sentences."""
+    start = seed % 5
+    return " ".join((WORDS["en"] * (words // len(WORDS["en"]) + 2))[start : start + words]) + "."
 
 
 @pytest.mark.parametrize("words", [450, 5000, 60_000])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass
+from dataclasses import fields as dataclass_fields
 
 import numpy as np
 
@@ -74,6 +75,23 @@ class TransformerConfig:
         return out | {"value_head.fc2.weight": (1, self.value_hidden), "value_head.fc2.bias": (1,)}
 
 
+def describe_config(config: ResNetConfig | TransformerConfig) -> str:
+    """A net's settings and size in a line."""
+    if isinstance(config, ResNetConfig):
+        shape = f"residual tower, {config.blocks} blocks of {config.channels} channels"
+    else:
+        shape = f"encoder over squares, {config.layers} layers of {config.d_model} features, {config.heads} heads, {config.pooling} pooling"
+    return f"{shape}, value head of {config.value_hidden}, {count_parameters(config):,} parameters"
+
+
+def config_from(fields: Mapping[str, object]) -> ResNetConfig | TransformerConfig:
+    """The settings a mapping of field names stands for, as kept beside exported weights; others are errors."""
+    for kind in (ResNetConfig, TransformerConfig):
+        if fields and set(fields) <= {f.name for f in dataclass_fields(kind)} and set(fields) & ({"channels", "blocks"} if kind is ResNetConfig else {"d_model", "layers"}):
+            return kind(**fields)
+    raise UnknownArchitectureError(sorted(fields))
+
+
 def count_parameters(config: ResNetConfig | TransformerConfig) -> int:
     return sum(int(np.prod(s)) for s in config.shapes().values())
 

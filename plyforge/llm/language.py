@@ -17,6 +17,7 @@ Nulls: a null, empty or blank text has no segments, and its document no language
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -99,11 +100,25 @@ def clean(text: str) -> str:
     return _INVISIBLE.sub("", text)
 
 
+_JUDGED: dict[str, str | None] = {}
+
+
+def _word_of(token: str) -> str | None:
+    """The word a token is, in lower case; none for moves, numbers and other signs."""
+    word = token.lower().replace("’", "'") if _WORD.fullmatch(token) and not _CASTLES.fullmatch(token.lower()) else None
+    if len(token) <= CACHED_LENGTH:
+        if len(_JUDGED) > 500_000:
+            _JUDGED.clear()
+        _JUDGED[token] = word
+    return word
+
+
 def sentences(text: str) -> Iterator[tuple[int, list[str], bool]]:
     """(line, words, ended) of every sentence; only words of letters are kept, in lower case.
 
     Lines, comments, brackets and quotes hold sentences of their own. A full stop after a whole number ends none.
     """
+    judged = _JUDGED.get
     for line, unit in enumerate(_UNIT.split(_ASIDE.sub(" ", clean(text)))):
         words: list[str] = []
         before = ""
@@ -113,8 +128,12 @@ def sentences(text: str) -> Iterator[tuple[int, list[str], bool]]:
                     if words:
                         yield line, words, True
                     words = []
-            elif _WORD.fullmatch(token) and not _CASTLES.fullmatch(word := token.lower()):
-                words.append(word.replace("’", "'"))
+            else:
+                word = judged(token, token)
+                if word is token:  # not judged yet, or a word as it stands
+                    word = _word_of(token)
+                if word is not None:
+                    words.append(word)
             before = token
         if words:
             yield line, words, False
@@ -146,17 +165,27 @@ class Field:
         self.emit = np.zeros((1 << BITS, k), np.float32)
         self.inside = np.zeros((k, k))
         self.between = np.zeros((k, k))
-        self.cache: dict[str, np.ndarray] = {}
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((1024, k), np.float32)
 
     def emission(self, word: str) -> np.ndarray:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            got = self.emit[_features(word)].sum(0)
-            if len(word) <= CACHED_LENGTH:
-                self.cache[word] = got
-        return got
+        return self.emit[_features(word)].sum(0)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """The emissions of words, of which those met before are rows of a table."""
+        if len(self.rows) > 500_000:
+            self.rows.clear()
+        rows, places = self.rows, []
+        for word in words:
+            key = word if len(word) <= CACHED_LENGTH else hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            row = rows.get(key)
+            if row is None:
+                row = rows[key] = len(rows)
+                if row == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[row] = self.emission(word)
+            places.append(row)
+        return self.table[places]
 
     def posterior(self, score: np.ndarray, fresh: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Forward-backward over padded sequences (n, length, languages); ``fresh`` marks first words of sentences.
@@ -192,12 +221,12 @@ class Field:
         return (moves * ~later).sum((0, 1)), (moves * later).sum((0, 1))
 
 
-def _padded(lines: list[tuple[list[str], list[bool]]], emission) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(lines: list[tuple[list, list[bool]]], emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     length = max(len(w) for w, _ in lines)
     score = np.zeros((len(lines), length, len(LANGUAGES)))
     fresh, mask = np.zeros((len(lines), length), bool), np.zeros((len(lines), length), bool)
     for i, (words, starts) in enumerate(lines):
-        score[i, : len(words)] = [emission(w) for w in words]
+        score[i, : len(words)] = emissions(words)
         fresh[i, : len(words)], mask[i, : len(words)] = starts, True
     return score, fresh, mask
 
@@ -206,25 +235,32 @@ def _relabelled(docs: list[tuple[str, int]], rounds: int = 3) -> list[list[tuple
     """Sentences (line, words, language) of labelled texts, labelled by word counts; doubtful ones are left out."""
     k = len(LANGUAGES)
     split = [[(line, words) for line, words, _ in sentences(text)] for text, _ in docs]
-    labels = [[lang] * len(s) for s, (_, lang) in zip(split, docs)]
-    sure = [[True] * len(s) for s in split]
+    flat = [words for s in split for _, words in s]
+    if not flat:
+        return [[] for _ in docs]
+    ids: dict[str, int] = {}
+    word = np.array([ids.setdefault(w, len(ids)) for words in flat for w in words])
+    sizes = np.array([len(words) for words in flat])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    label = np.repeat([lang for _, lang in docs], [len(s) for s in split])
+    sure = np.ones(len(flat), bool)
     for _ in range(rounds):
-        counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(k))
-        for s, lab, ok in zip(split, labels, sure):
-            for (_, words), y, good in zip(s, lab, ok):
-                if good:
-                    for w in words:
-                        counts[w][y] += 1
-        total = sum(counts.values()) if counts else np.ones(k)
+        kept = np.repeat(sure, sizes)
+        counts = np.bincount(word[kept] * k + np.repeat(label, sizes)[kept], minlength=len(ids) * k).reshape(-1, k).astype(float)
+        total, met = counts.sum(0), counts.sum(1) > 0
+        total = total if met.any() else np.ones(k)
         known = total > 0
-        log = {w: np.where(known, np.log((c + 0.05) / (total + 0.05 * len(counts))), -50.0) for w, c in counts.items()}
-        for d, s in enumerate(split):
-            for i, (_, words) in enumerate(s):
-                score = sum((log[w] for w in words if w in log), np.where(known, 0.0, -1e9))
-                order = np.argsort(score)
-                labels[d][i] = int(order[-1])
-                sure[d][i] = bool(score[order[-1]] - score[order[-2]] > 3.0)
-    return [[(line, words, y) for (line, words), y, ok in zip(s, lab, good) if ok] for s, lab, good in zip(split, labels, sure)]
+        log = np.where(known, np.log((counts + 0.05) / (total + 0.05 * met.sum())), -50.0) * met[:, None]
+        score = np.add.reduceat(log[word], starts) + np.where(known, 0.0, -1e9)
+        label = score.argmax(1)
+        top = np.partition(score, k - 2, axis=1)
+        sure = top[:, k - 1] - top[:, k - 2] > 3.0
+    each = iter(zip(label.tolist(), sure.tolist()))
+    out = []
+    for s in split:
+        judged = [(line, words, *next(each)) for line, words in s]
+        out.append([(line, words, y) for line, words, y, ok in judged if ok])
+    return out
 
 
 def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 256, rate: float = 0.3, seed: int = 7) -> Field:
@@ -267,7 +303,7 @@ def fit(docs: list[tuple[str, int]], epochs: int = EPOCHS, batch: int = 256, rat
             flat, owner = np.concatenate(feats), np.repeat(np.arange(len(feats)), [len(f) for f in feats])
             ends = np.concatenate([[0], np.cumsum([len(f) for f in feats])[:-1]])
             table = np.add.reduceat(field.emit[flat].astype(float), ends, axis=0)
-            score, fresh, mask = _padded([(p, f) for p, (_, f, _) in zip(places, some)], lambda t, table=table: table[t])
+            score, fresh, mask = _padded([(p, f) for p, (_, f, _) in zip(places, some)], table.__getitem__)
             word, ahead, after = field.posterior(score, fresh, mask)
             inside, between = field.transitions(ahead, after, fresh, mask)
             gold = np.zeros_like(word)
@@ -310,29 +346,34 @@ def segments(field: Field, texts: Iterable[str | None]) -> list[list[tuple[int,
             have[1].extend([bool(have[0])] + [False] * (len(words) - 1))
             have[0].extend(words)
     posts: list[np.ndarray | None] = [None] * len(lines)
+    bests: list[np.ndarray | None] = [None] * len(lines)
     order = sorted(range(len(lines)), key=lambda i: len(lines[i][0]))
     at = 0
     while at < len(order):
         some = [order[at]]  # lines of like length, as many as fill a batch
         while len(some) < 512 and at + len(some) < len(order) and len(lines[order[at + len(some)]][0]) * (len(some) + 1) <= BATCH_WORDS:
             some.append(order[at + len(some)])
-        word, _, _ = field.posterior(*_padded([lines[i] for i in some], field.emission))
-        for i, p in zip(some, word):
-            posts[i] = p[: len(lines[i][0])]
+        word, _, _ = field.posterior(*_padded([lines[i] for i in some], field.emissions))
+        for i, p, b in zip(some, word, word.argmax(2)):
+            posts[i], bests[i] = p[: len(lines[i][0])], b[: len(lines[i][0])]
         at += len(some)
     out: list[list[tuple[int, str, float, int, bool]]] = []
     numbers: dict[int, int] = defaultdict(int)
     result: dict[int, list] = defaultdict(list)
     for d, line, a, b, ended in spans:
-        p = posts[line][a:b]
-        best = p.argmax(1)
-        edges = [0, *(np.flatnonzero(np.diff(best)) + 1), b - a]
+        p, best = posts[line][a:b], bests[line][a:b]
         numbers[d] += 1
-        longest = [0, *sorted(np.diff(edges))]
+        lang, n = int(best[0]), b - a
+        if (best == lang).all():
+            whole = n >= MIN_WORDS and (ended or n >= 2 * MIN_WORDS)
+            result[d].append((numbers[d], LANGUAGES[lang], float(np.add.reduce(p[:, lang])) / n, n, whole))
+            continue
+        edges = [0, *(np.flatnonzero(best[1:] != best[:-1]) + 1).tolist(), n]
+        longest = sorted(y - x for x, y in zip(edges, edges[1:]))
         for x, y in zip(edges, edges[1:]):
             lang = int(best[x])
-            whole = (ended or b - a >= 2 * MIN_WORDS) and y - x >= MIN_WORDS and (y - x == longest[-1] and longest[-2] < MIN_WORDS or y - x >= 2 * MIN_WORDS and (x == 0 or y == b - a))
-            result[d].append((numbers[d], LANGUAGES[lang], float(p[x:y, lang].mean()), int(y - x), bool(whole)))
+            whole = (ended or n >= 2 * MIN_WORDS) and y - x >= MIN_WORDS and (y - x == longest[-1] and longest[-2] < MIN_WORDS or y - x >= 2 * MIN_WORDS and (x == 0 or y == n))
+            result[d].append((numbers[d], LANGUAGES[lang], float(np.add.reduce(p[x:y, lang])) / (y - x), y - x, bool(whole)))
     for d in range(max(result, default=-1) + 1):
         out.append(result.get(d, []))
     return out
@@ -352,7 +393,6 @@ def label_documents(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """(doc_id, lang, confidence, segments) for each document; ``lang`` is that of most words, null without any."""
     spark = docs.sparkSession
     field = field or train(docs)
-    field.cache = {}
     shared = spark.sparkContext.broadcast((field.emit, field.inside, field.between))
     kind = docs.schema["doc_id"].dataType.simpleString()
 

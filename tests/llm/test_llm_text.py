@@ -158,9 +158,9 @@ def test_messages_do_not_depend_on_padding(field):
 
     texts = [long_text(n, n).rstrip(".").split() for n in (3, 40, 700, 2500)]
     lines = [(w, [i > 0 and i % 9 == 0 for i in range(len(w))]) for w in texts]
-    together, *_ = field.posterior(*language._padded(lines, field.emission))
+    together, *_ = field.posterior(*language._padded(lines, field.emissions))
     for k, line in enumerate(lines):
-        alone, *_ = field.posterior(*language._padded([line], field.emission))
+        alone, *_ = field.posterior(*language._padded([line], field.emissions))
         assert np.abs(together[k, : len(line[0])] - alone[0]).max() < 1e-9
 
 

@@ -8,6 +8,9 @@ from pathlib import Path
 from typing import Any
 
 
+# Names, order and defaults of the settings below define the semantics of a build and its YAML files.
+
+
 @dataclass(frozen=True)
 class SourceConfig:
     base_url: str = ""

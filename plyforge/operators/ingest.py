@@ -62,9 +62,20 @@ def first_of_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return best.select(key, "_r.*").select(df.columns).unionByName(df.filter(F.col(key).isNull()))
 
 
-def unseen(df: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in ``seen``; null keys are unseen."""
-    return df.join(seen.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti").select(df.columns)
+#: Most keys that are broadcast to a history, so that it is read but not shuffled (8 bytes a key).
+PROBED_KEYS = 1_000_000
+
+
+def unseen(df: DataFrame, seen: DataFrame, key: str, rows: int | None = None) -> DataFrame:
+    """Rows whose key is not in ``seen``; null keys are unseen.
+
+    Where ``df`` (best a written table) is known to have few ``rows``, its keys are broadcast to ``seen``, which may be
+    any history: only the keys they have in common are joined back. Otherwise both sides are shuffled.
+    """
+    known = seen.select(key).filter(F.col(key).isNotNull())
+    if rows is not None and rows <= PROBED_KEYS:
+        known = known.join(F.broadcast(df.select(key).filter(F.col(key).isNotNull()).distinct()), key, "left_semi")
+    return df.join(known.distinct(), key, "left_anti").select(df.columns)
 
 
 def shard_of(seq: Column, games_per_shard: int) -> Column:

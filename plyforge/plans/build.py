@@ -72,7 +72,8 @@ def pending(games: DataFrame, cfg: DatasetConfig, seen: DataFrame, drawn: DataFr
     """
     if drawn is None:
         drawn = session.cut(ingest.sampled_positions(games, cfg.sampling, cfg.filter.min_plies), "sampled")
-    fresh = ingest.unseen(ingest.first_of_key(drawn, "pos_key", ["game_seq", "ply"]), seen, "pos_key")
+    first = session.cut(ingest.first_of_key(drawn, "pos_key", ["game_seq", "ply"]), "first")
+    fresh = ingest.unseen(first, seen, "pos_key", first.count())
     rating = lambda c: F.coalesce(ingest.elo(F.col(c)), F.lit(0)).cast("smallint")
     about = games.select(
         "game_seq", rating("white_elo").alias("white_elo"), rating("black_elo").alias("black_elo"), F.coalesce("result", F.lit("*")).alias("result"),

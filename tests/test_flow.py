@@ -94,6 +94,14 @@ def test_state_survives_a_broken_write(spark, tmp_path):
     assert session.read_text(spark, path) == "3" and session.read_text(spark, f"{tmp_path}/none.json") is None
 
 
+@pytest.mark.parametrize("rows", [None, 5, 2_000_000])
+def test_unseen_by_broadcast_or_shuffle(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d"), (9, "e")], "k bigint, v string")
+    seen = spark.createDataFrame([(2,), (None,), (5,), (2,)], "k bigint")
+    assert sorted(r.v for r in ingest.unseen(df, seen, "k", rows).collect()) == ["a", "d", "e"]
+    assert ingest.unseen(df.limit(0), seen, "k", rows).count() == 0 and ingest.unseen(df, seen.limit(0), "k", rows).count() == 5
+
+
 # Ranks and percentiles --------------------------------------------------------------------------------------------
 
 

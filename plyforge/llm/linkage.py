@@ -9,12 +9,13 @@ what a record shows) under
   damaged, even to a text that is no position, meet.
 
 A batch is reduced to its distinct identities, these probe the tables, and every pair found is scored field by field
-with learned weights. Pairs above the threshold are links. Links of one identity are exact repeats: the exact check that
-follows them is the identity itself, and gives ``found``. Links of different identities are near-duplicates; union-find
-over the touched clusters (``merge``) keeps a persisted mapping of identities to representatives.
+with learned weights; a record that repeats an identity is scored against the first record of it. Pairs above the
+threshold are links. Union-find over the touched clusters (``merge``) keeps a persisted mapping of linked identities to
+representatives, one that is linked to nothing but its repeats to itself. Links of different identities are
+near-duplicates. ``found`` are the linked records of one cluster that pass the exact check: one identity.
 
-Weights: log2(m / u) where a field agrees, log2((1 - m) / (1 - u)) where it differs, but nothing where the origin (game,
-ply, dump) does: positions recur in other games; u, the chance that unrelated
+Weights: log2(m / u) where a field agrees, log2((1 - m) / (1 - u)) where it differs, but the origin (game, ply, dump)
+never counts against a pair: positions recur in other games; u, the chance that unrelated
 records agree, from the value frequencies of all history (for the board: from its share among all candidate pairs); m,
 that records of one cluster do: for game, ply and dump from the exact repeats of history (first against last record of
 each identity), for what a position shows, as for the prior, by expectation maximisation over the agreement patterns of
@@ -58,8 +59,11 @@ FIELDS = SHOWN + ORIGIN
 RECORD = "rec_id bigint, batch_no int, ident bigint, place bigint, board string, state string, game int, ply smallint, dump int"
 _DOTS = str.maketrans({str(n): "." * n for n in range(1, 9)})
 _TOLD = "state string, game int, ply smallint, dump int"
-KNOWN = "ident bigint, n bigint, first bigint, old_first bigint, score double"
+#: Of each identity of a round: its records there, and the first record, of before if there is one.
+KNOWN = f"ident bigint, n bigint, first bigint, {_TOLD}"
 LINK = "ident bigint, rep bigint, score double"
+#: Of a pair of near boards what the near table tells; the origins are looked up by identity.
+NEAR_PAIR = "ident bigint, old_ident bigint, state string, old_state string"
 
 
 def _shown(near: bool):
@@ -135,12 +139,17 @@ class Weights:
     u: tuple[float, ...]
     prior: float
 
+    @staticmethod
+    def _agrees(name: str, m: float, u: float) -> float:
+        """What agreement in a field counts; where repeats share an origin less often than others do, it is no evidence."""
+        return math.log2(m / u) if name in SHOWN else max(0.0, math.log2(m / u))
+
     def odds(self, flags: dict[str, bool | None]) -> float:
         """Log2 odds that two records are one; a field that is missing counts for nothing."""
         out = math.log2(self.prior / (1 - self.prior))
         for name, m, u in zip(FIELDS, self.m, self.u):
             if flags.get(name):
-                out += math.log2(m / u)
+                out += self._agrees(name, m, u)
             elif flags.get(name) is not None and name in SHOWN:
                 out += math.log2((1 - m) / (1 - u))
         return out
@@ -150,7 +159,7 @@ class Weights:
         out = F.lit(math.log2(self.prior / (1 - self.prior)))
         for name, m, u in zip(FIELDS, self.m, self.u):
             differs = math.log2((1 - m) / (1 - u)) if name in SHOWN else 0.0
-            out = out + F.when(flags[name], math.log2(m / u)).when(~flags[name], differs).otherwise(0.0)
+            out = out + F.when(flags[name], self._agrees(name, m, u)).when(~flags[name], differs).otherwise(0.0)
         return out
 
     def limit(self, threshold: float) -> float:
@@ -202,7 +211,7 @@ class Linker:
         self.stores = {
             "ident": RunStore(spark, f"{path}/ident", payload=f"first bigint, {_TOLD}", **options),
             "place": RunStore(spark, f"{path}/place", payload=f"ident bigint, {_TOLD}", **options),
-            "near": RunStore(spark, f"{path}/near", payload=f"ident bigint, board string, {_TOLD}", **options),
+            "near": RunStore(spark, f"{path}/near", payload="ident bigint, board string, state string", **options),
             "reps": RunStore(spark, f"{path}/reps", payload="rep bigint", least=True, **options),
         }
         for name, kept in state.get("stores", {}).items():
@@ -220,23 +229,33 @@ class Linker:
             store.clean()
 
     def _near_rows(self, ids: DataFrame) -> DataFrame:
-        """(key, ident, board: the two ranks the key leaves out, ...) of identities with squares, four of each."""
+        """(key, ident, board: the two ranks the key leaves out, state) of identities with squares, four of each."""
         ranks = F.split("board", "/")
         side = F.get(F.split("state", " "), F.lit(0))
         rest = lambda k: F.xxhash64(F.lit(k), side, *[F.get(ranks, F.lit(r)) for r in range(8) if r % 4 != k])
         some = F.array(*[F.struct(rest(k).alias("key"), F.concat_ws("/", F.get(ranks, F.lit(k)), F.get(ranks, F.lit(k + 4))).alias("part")) for k in range(4)])
         t = ids.filter("board is not null and state is not null").withColumn("_k", F.explode(some))
-        return t.select("_k.key", "ident", F.col("_k.part").alias("board"), "state", "game", "ply", "dump")
+        return t.select("_k.key", "ident", F.col("_k.part").alias("board"), "state")
+
+    def _apart(self, near: DataFrame) -> DataFrame:
+        """NEAR_PAIR of the pairs of near keys that are one character apart in one rank."""
+        left, right = F.split("board", "/"), F.split("old_board", "/")
+        apart = sum((F.levenshtein(F.get(left, F.lit(k)), F.get(right, F.lit(k))) for k in (0, 1)), F.lit(0))
+        return near.filter("ident != old_ident").filter(apart == 1).select(*T.StructType.fromDDL(NEAR_PAIR).names)
 
     def _candidates(self, pairs: DataFrame, near: DataFrame | None) -> DataFrame:
-        """Pairs of different identities with the flag of their boards: the same, or one character apart in one rank."""
+        """Pairs of different identities with the flag of their boards: the same, or (NEAR_PAIR, kept) one character apart."""
         names = ["ident", "old_ident", *[p + c for p in ("", "old_") for c in ("state", *ORIGIN)]]
-        out = pairs.select(*names, F.lit(True).alias("same_board"))
-        if near is not None:
-            left, right = F.split("board", "/"), F.split("old_board", "/")
-            apart = sum((F.levenshtein(F.get(left, F.lit(k)), F.get(right, F.lit(k))) for k in (0, 1)), F.lit(0))
-            out = out.unionByName(near.filter(apart == 1).select(*names, F.lit(False).alias("same_board")))
-        return out.filter("ident != old_ident")
+        out = pairs.filter("ident != old_ident").select(*names, F.lit(True).alias("same_board"))
+        total = 0 if near is None else near.count()
+        if not total:
+            return out
+        for p in ("", "old_"):
+            wanted = near.select(F.col(f"{p}ident").alias("key")).distinct()
+            told = self.stores["ident"].probe(wanted).filter("found").select(F.col("key").alias(f"{p}ident"), *[F.col(f"old_{c}").alias(f"{p}{c}") for c in ORIGIN])
+            load = near.groupBy(f"{p}ident").agg(F.count(F.lit(1)).alias("_n"))
+            near = hot_join(near, told.join(load, f"{p}ident"), f"{p}ident", "_n", total).drop("_n")
+        return out.unionByName(near.select(*names, F.lit(False).alias("same_board")))
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """Links of candidates above the threshold, the larger identity first."""
@@ -244,13 +263,12 @@ class Linker:
         linked = pairs.select(F.greatest("ident", "old_ident").alias("ident"), F.least("ident", "old_ident").alias("rep"), score.alias("score"))
         return linked.filter(F.col("score") >= self.weights.limit(self.threshold))
 
-    def _flush(self, fresh: DataFrame, shown: DataFrame, boards: DataFrame, about: int, level: int = 0) -> DataFrame:
-        """Store new identities, newly shown placements and boards; gives the candidate pairs among them."""
+    def _flush(self, fresh: DataFrame, shown: DataFrame, about: int, level: int = 0) -> tuple[DataFrame, DataFrame | None]:
+        """Store new identities, newly shown placements and boards; gives the pairs among them by placement and by near key."""
         told = ["state", "game", "ply", "dump"]
         self.stores["ident"].flush(fresh.select(F.col("ident").alias("key"), "first", *told), level, compact=False, about=about)
         pairs = self._twins("place", shown.filter("place is not null").select(F.col("place").alias("key"), "ident", *told), level, about)
-        near = self._twins("near", self._near_rows(boards), level, 4 * about) if self.near else None
-        return self._candidates(pairs, near)
+        return pairs, self._apart(self._twins("near", self._near_rows(shown), level, 4 * about)) if self.near else None
 
     def _twins(self, name: str, rows: DataFrame, level: int, about: int) -> DataFrame:
         store = self.stores[name]
@@ -267,7 +285,9 @@ class Linker:
     def start(self, history: DataFrame) -> None:
         """Take in the accepted records, learning the weights from them."""
         ids = session.cut(_identities(history, repeats=True), "link-ids")
-        pairs = session.cut(self._flush(ids, ids, ids, ids.count(), level=1), "link-pairs")
+        pairs, near = self._flush(ids, ids, ids.count(), level=1)
+        near = session.cut(near, "link-near") if self.near else None
+        pairs = session.cut(self._candidates(pairs, near), "link-pairs")
         flags = _agreement(F.col("same_board"))
         counted = [(tuple(r[f] for f in FIELDS), r.c) for r in pairs.groupBy(*[flags[f].alias(f) for f in FIELDS]).agg(F.count(F.lit(1)).alias("c")).collect()]
         every = sum(c for _, c in counted)
@@ -281,11 +301,11 @@ class Linker:
         self.weights = learn_weights(counted, u, [(repeats[2 * k], repeats[2 * k + 1]) for k in range(len(ORIGIN))])
         self.links.add(self._linked(pairs))
         self._close_round()
-        for df in (ids, pairs):
+        for df in (ids, near, pairs):
             session.release(df)
 
     def add(self, batch: DataFrame, known: Rounds) -> None:
-        """One batch; ``known`` gets KNOWN of its identities, with the score of each that was known before."""
+        """One batch; ``known`` gets KNOWN of its identities."""
         ids = _identities(batch).withColumnRenamed("ident", "key")
         seen = session.cut(self.stores["ident"].probe(ids), "link-probe")
         count = seen.count()
@@ -298,24 +318,40 @@ class Linker:
         there = hits.filter("ident = old_ident").select("ident")  # its text came in an earlier round
         shown = shown.join(there, "ident", "left_anti")
         # both probes read the runs of before, whenever they are evaluated
-        near = self.stores["near"].probe(self._near_rows(shown)).filter("found") if self.near else None
-        before = self._candidates(hits.join(there, "ident", "left_anti"), near)
-        within = self._flush(fresh, shown, shown, about=count)
-        self.links.add(self._linked(before.unionByName(within)))
-        # what an equal identity does not show (a key alone) it shows all the same, since the digests are equal
-        flags = _agreement(F.lit(True)) | {name: F.lit(True) for name in SHOWN}
-        score = F.when(F.col("found"), self.weights.score(flags))
-        known.add(named.select("ident", "n", "first", F.col("old_first").alias("old_first"), score.alias("score")))
+        near = self._apart(self.stores["near"].probe(self._near_rows(shown)).filter("found")) if self.near else None
+        pairs, within = self._flush(fresh, shown, about=count)
+        if self.near:
+            near = session.cut(near.unionByName(within), "link-near")
+        pairs = hits.join(there, "ident", "left_anti").select(*pairs.columns).unionByName(pairs)
+        self.links.add(self._linked(self._candidates(pairs, near)))
+        earlier = F.col("old_first") < F.col("first")
+        first = [F.when(earlier, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in ("first", "state", *ORIGIN)]
+        known.add(named.select("ident", "n", *first))
         self._close_round()
-        for df in (seen, hits):
+        for df in (seen, hits, near):
             session.release(df)
 
+    def repeats(self, records: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
+        """(rec_id, first_rec_id, ident, score) of records linked to the first record of their identity; each such identity is a link.
+
+        ``firsts``: KNOWN, one row for each identity.
+        """
+        old = firsts.select("ident", "n", *[F.col(c).alias(f"old_{c}") for c in ("first", "state", *ORIGIN)])
+        both = hot_join(records.select("rec_id", "ident", "state", *ORIGIN), old, "ident", "n", total).filter("rec_id > old_first")
+        # what an equal identity does not show (a key alone) it shows all the same, since the digests are equal
+        flags = _agreement(F.lit(True))
+        flags |= {name: F.coalesce(flags[name], F.lit(True)) for name in SHOWN}
+        scored = both.select("rec_id", F.col("old_first").alias("first_rec_id"), "ident", self.weights.score(flags).alias("score"))
+        linked = session.cut(scored.filter(F.col("score") >= self.weights.limit(self.threshold)), "link-repeats")
+        self.links.add(linked.groupBy("ident").agg(F.max("score").alias("score")).withColumn("rep", F.col("ident")))
+        return linked
+
     def _roots(self, nodes: DataFrame) -> DataFrame:
         """(node, root) of ``nodes`` (node) by the stored mapping, followed to its end."""
         at = nodes.select("node", F.col("node").alias("root"))
         while True:
             probed = self.stores["reps"].probe(at.select(F.col("root").alias("key")).distinct())
-            up = session.cut(probed.filter("found").groupBy("key").agg(F.min("old_rep").alias("up")), "reps-up")
+            up = session.cut(probed.filter("found and old_rep != key").groupBy("key").agg(F.min("old_rep").alias("up")), "reps-up")
             if not up.count():
                 return at
             at = session.cut(at.join(up, at.root == up.key, "left").select("node", F.coalesce("up", "root").alias("root")), "reps-at")
@@ -331,34 +367,36 @@ class Linker:
             roots = self._roots(nodes) if self.stores["reps"].runs else nodes.select("node", F.col("node").alias("root"))
             left = roots.select(F.col("node").alias("ident"), F.col("root").alias("a"))
             right = roots.select(F.col("node").alias("rep"), F.col("root").alias("b"))
-            moved = components(edges.join(left, "ident").join(right, "rep").select("a", "b"))
+            moved = components(edges.filter("ident != rep").join(left, "ident").join(right, "rep").select("a", "b"))
             # each touched node points to its new root at once, and so does each root that is none any more
             ends = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("_new")), "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
-            new = ends.filter("node != root").unionByName(moved.select("node", "root")).distinct()
+            new = ends.unionByName(moved.select("node", "root")).distinct()
             self.stores["reps"].flush(session.cut(new.select(F.col("node").alias("key"), F.col("root").alias("rep")), "merge-new"), compact=False)
             self.stores["reps"].compact()
         self.merged = self.links.done
         self._commit()
 
     def representatives(self) -> DataFrame:
-        """(ident, rep) of every identity of a cluster but its representative."""
+        """(ident, rep) of every identity that is linked, be it to its repeats only."""
         self.merge()
-        pairs = self.stores["reps"].scan().groupBy("key").agg(F.min("rep").alias("rep"))
-        return components(pairs.select("key", "rep")).select(F.col("node").alias("ident"), F.col("root").alias("rep"))
+        pairs = session.cut(self.stores["reps"].scan().groupBy("key").agg(F.min("rep").alias("rep")), "reps-stored")
+        roots = components(pairs.filter("key != rep").select("key", "rep")).withColumnRenamed("node", "key")
+        return pairs.join(roots, "key", "left").select(F.col("key").alias("ident"), F.coalesce("root", "rep").alias("rep"))
 
 
 @dataclass
 class Linked:
-    """``found``: (rec_id, first_rec_id) of batch records that show what a record of smaller rec_id shows.
-
-    ``links``: the scored links of different identities; ``idents``: the batches' identities; ``records``: (rec_id,
-    ident) of all records of history and batches, as given, that have an identity.
+    """``links``: the scored links of different identities; ``idents``: the batches' identities with the number of their
+    records; ``repeated``: (rec_id, first_rec_id, ident, score) of batch records linked to the first of their identity;
+    ``records``: (rec_id, ident) of all records of history and batches, as given, that have an identity; ``reps``: the
+    representatives (ident, rep) of linked identities.
     """
 
-    found: DataFrame
     linker: Linker
     idents: DataFrame
+    repeated: DataFrame
     records: DataFrame
+    reps: DataFrame
 
     @property
     def weights(self) -> Weights:
@@ -366,22 +404,25 @@ class Linked:
 
     @property
     def links(self) -> DataFrame:
-        return self.linker.links.read()
+        return self.linker.links.read().filter("ident != rep")
 
     @cached_property
-    def _reps(self) -> DataFrame:
-        return session.cut(self.linker.representatives(), "representatives")
+    def found(self) -> DataFrame:
+        """(first_rec_id, rec_id) of batch records that show what a record of smaller rec_id shows: linked, of one cluster, exactly equal."""
+        classes = self.reps.join(self.idents, "ident")
+        return hot_join(self.repeated, classes, "ident", "n", self.repeated.count()).select("first_rec_id", "rec_id")
 
     @cached_property
     def clusters(self) -> DataFrame:
         """(ident, rep): the near-duplicate class of every identity of the batches, named by its smallest identity."""
-        return self.idents.join(self._reps, "ident", "left").select("ident", F.coalesce("rep", "ident").alias("rep"))
+        return self.idents.join(self.reps, "ident", "left").select("ident", F.coalesce("rep", "ident").alias("rep"))
 
     @cached_property
     def members(self) -> DataFrame:
         """(rec_id, rep): the near-duplicate class of every record that has an identity."""
-        load = self.records.join(self._reps.select("ident"), "ident", "left_semi").groupBy("ident").agg(F.count(F.lit(1)).alias("n"))
-        table = self._reps.join(load, "ident")
+        moved = self.reps.filter("ident != rep")
+        load = self.records.join(moved.select("ident"), "ident", "left_semi").groupBy("ident").agg(F.count(F.lit(1)).alias("n"))
+        table = moved.join(load, "ident")
         both = hot_join(self.records, table, "ident", "n", self.records.count(), how="left")
         return both.select("rec_id", F.coalesce("rep", "ident").alias("rep"))
 
@@ -407,9 +448,8 @@ def link(
     known = Rounds(spark, session.new_path(spark, "link-rounds"), KNOWN)
     for low, high in rounds(batches, flush_batches):
         linker.add(batches.filter(F.col("rec_id").between(low, high)), known)
-    # repeats are links of an identity with itself, from a record before (scored) or within a round; the identity is the exact check
-    old_first = F.when(F.col("score") >= linker.weights.limit(linker.threshold), F.col("old_first"))
-    firsts = known.read().groupBy("ident").agg(F.min(F.least("first", old_first)).alias("first_rec_id"), F.max(old_first.isNotNull()).alias("old"), F.sum("n").alias("n"))
-    repeated = firsts.filter("old or n > 1")
-    found = hot_join(batches.select("rec_id", "ident"), repeated, "ident", "n", batches.count()).filter("rec_id > first_rec_id")
-    return Linked(found.select("first_rec_id", "rec_id"), linker, firsts.select("ident"), shown)
+    told = F.struct("state", *ORIGIN)
+    firsts = known.read().groupBy("ident").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.min_by(told, "first").alias("_t"))
+    firsts = session.cut(firsts.select("ident", "n", "first", "_t.*"), "link-firsts")
+    repeated = linker.repeats(batches, firsts, batches.count())
+    return Linked(linker, firsts.select("ident", "n"), repeated, shown, session.cut(linker.representatives(), "representatives"))

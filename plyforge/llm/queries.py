@@ -116,8 +116,8 @@ def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact repeats; the blocking keys of damaged boards, which hold none, are left out."""
-    return linkage.link(tables.accepted_records(spark, sf_dir, near=False), tables.arriving_records(spark, sf_dir, near=False), near=False).found
+    """Arrivals linked to an earlier record of their cluster that shows exactly the same: all blocking keys, scores, union-find."""
+    return linkage.link(tables.accepted_records(spark, sf_dir), tables.arriving_records(spark, sf_dir)).found
 
 
 def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

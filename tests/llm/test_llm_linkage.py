@@ -1,5 +1,6 @@
 """Near-duplicate classes of the record linkage against brute force over all pairs of a placement."""
 
+import dataclasses
 import itertools
 import math
 import random
@@ -13,7 +14,7 @@ import __spark_entry__
 from plyforge import session
 from plyforge.functions import keys, position, rules
 from plyforge.functions.position import usual_text
-from plyforge.llm import linkage
+from plyforge.llm import linkage, queries, tables
 
 #: Above the threshold of 0.6 one field may differ: two records that agree in two of three fields score 2, others -2 or less.
 #: Board and origin say nothing.
@@ -214,3 +215,30 @@ def test_damaged_copies_are_found(spark):
     wrong = sum(of[20_000 + i] == of[home[g, p]] for i, (g, p, _, _) in enumerate(decoys))
     print(f"recall {found}/{len(copies)}, decoys linked {wrong}/{len(decoys)}")
     assert found >= 0.9 * len(copies) and wrong <= 0.02 * len(decoys) and len({of[i] for i in range(len(old))}) >= 0.97 * len({t for *_, t in old})
+
+
+def test_repeats_go_through_all_steps(spark, monkeypatch):
+    """p5_found keeps every blocking table, scores each repeat, and takes it from a cluster of the stored mapping."""
+    made, link = [], linkage.link
+    monkeypatch.setattr(linkage, "link", lambda *args, **options: made.append(link(*args, **options)) or made[-1])
+    monkeypatch.setattr(tables, "accepted_records", lambda *_, **o: recs(spark, [(1, None, fen(1, "w", "K"), None), (2, None, fen(2, "w", "K"), None)]))
+    monkeypatch.setattr(tables, "arriving_records", lambda *_, **o: recs(spark, [(11, 0, fen(1, "w", "K"), None), (12, 1, fen(9, "b", "Q"), None), (13, 1, fen(9, "b", "Q"), None)]))
+    assert sorted(tuple(r) for r in queries.p5_found(spark, "").collect()) == [(1, 11), (12, 13)]
+    out = made[0]
+    assert out.linker.stores["near"].rows and out.linker.merged == out.linker.links.done
+    assert {r.rec_id for r in out.repeated.filter(F.col("score") >= out.weights.limit(0.9)).collect()} == {11, 13}
+    assert {keys.digest64(fen(1, "w", "K")), keys.digest64(fen(9, "b", "Q"))} <= {r.key for r in out.linker.stores["reps"].scan().collect()}
+    # without a cluster there is no repeat
+    fewer = dataclasses.replace(out, reps=out.reps.filter(F.col("ident") != keys.digest64(fen(9, "b", "Q"))))
+    assert [tuple(r) for r in fewer.found.collect()] == [(1, 11)]
+
+
+def test_a_shared_origin_loses_no_repeat(spark, monkeypatch):
+    """Where repeats share their dump less often than other records do, a repeat of one dump is one all the same."""
+    rare = linkage.Weights((0.9,) * 4 + (0.5, 0.5, 0.1), (0.2,) * 4 + (0.5, 0.5, 0.6), 0.05)
+    monkeypatch.setattr(linkage, "learn_weights", lambda *_: rare)
+    rows = [(1, None, fen(1, "w", "K"), "2025-01"), (11, 0, fen(1, "w", "K"), "2025-01"), (12, 0, fen(1, "w", "K"), "2025-02")]
+    df = spark.createDataFrame(rows, "rec_id bigint, batch_no int, fen string, src_dump string")
+    given_ = linkage.records(df, F.lit(None).cast("bigint"), F.col("batch_no"), dump=F.col("src_dump"), near=False)
+    out = linkage.link(given_.filter("batch_no is null"), given_.filter("batch_no is not null"), near=False)
+    assert sorted(tuple(r) for r in out.found.collect()) == [(1, 11), (1, 12)]

@@ -62,6 +62,8 @@ _TOLD = "state string, game int, ply smallint, dump int"
 #: Of each identity of a round: its records there, and the first record, of before if there is one.
 KNOWN = f"ident bigint, n bigint, first bigint, {_TOLD}"
 LINK = "ident bigint, rep bigint, score double"
+#: What is scored of a pair.
+PAIR = ("ident", "old_ident", *[p + c for p in ("", "old_") for c in ("state", *ORIGIN)])
 #: Of a pair of near boards what the near table tells; the origins are looked up by identity.
 NEAR_PAIR = "ident bigint, old_ident bigint, state string, old_state string"
 
@@ -219,43 +221,54 @@ class Linker:
         self.weights = Weights(**{k: tuple(v) if isinstance(v, list) else v for k, v in state["weights"].items()}) if state else None
         self.threshold, self.merged = state.get("threshold", threshold), state.get("merged", 0)
         self.links = Rounds(spark, f"{path}/links", LINK, state.get("linked", 0))
+        self.pairs, self.scored = Rounds(spark, f"{path}/pairs", NEAR_PAIR, state.get("paired", 0)), state.get("scored", 0)
         self.state_is_new = not state
 
     def _commit(self) -> None:
         """Put all tables' new runs in force at once."""
         state = {"near": self.near, "threshold": self.threshold, "weights": asdict(self.weights), "linked": self.links.done, "merged": self.merged}
+        state |= {"paired": self.pairs.done, "scored": self.scored}
         session.write_text(self.spark, f"{self.path}/state.json", json.dumps(state | {"stores": {k: s.state for k, s in self.stores.items()}}))
         for store in self.stores.values():
             store.clean()
 
     def _near_rows(self, ids: DataFrame) -> DataFrame:
         """(key, ident, board: the two ranks the key leaves out, state) of identities with squares, four of each."""
-        ranks = F.split("board", "/")
-        side = F.get(F.split("state", " "), F.lit(0))
-        rest = lambda k: F.xxhash64(F.lit(k), side, *[F.get(ranks, F.lit(r)) for r in range(8) if r % 4 != k])
-        some = F.array(*[F.struct(rest(k).alias("key"), F.concat_ws("/", F.get(ranks, F.lit(k)), F.get(ranks, F.lit(k + 4))).alias("part")) for k in range(4)])
-        t = ids.filter("board is not null and state is not null").withColumn("_k", F.explode(some))
+        rank = lambda r: F.get("_ranks", F.lit(r))
+        rest = lambda k: F.xxhash64(F.lit(k), "_side", *[rank(r) for r in range(8) if r % 4 != k])
+        some = F.array(*[F.struct(rest(k).alias("key"), F.concat_ws("/", rank(k), rank(k + 4)).alias("part")) for k in range(4)])
+        t = ids.filter("board is not null and state is not null").select("ident", "state", F.split("board", "/").alias("_ranks"), F.substring_index("state", " ", 1).alias("_side"))
+        t = t.withColumn("_k", F.explode(some))
         return t.select("_k.key", "ident", F.col("_k.part").alias("board"), "state")
 
     def _apart(self, near: DataFrame) -> DataFrame:
         """NEAR_PAIR of the pairs of near keys that are one character apart in one rank."""
-        left, right = F.split("board", "/"), F.split("old_board", "/")
-        apart = sum((F.levenshtein(F.get(left, F.lit(k)), F.get(right, F.lit(k))) for k in (0, 1)), F.lit(0))
-        return near.filter("ident != old_ident").filter(apart == 1).select(*T.StructType.fromDDL(NEAR_PAIR).names)
-
-    def _candidates(self, pairs: DataFrame, near: DataFrame | None) -> DataFrame:
-        """Pairs of different identities with the flag of their boards: the same, or (NEAR_PAIR, kept) one character apart."""
-        names = ["ident", "old_ident", *[p + c for p in ("", "old_") for c in ("state", *ORIGIN)]]
-        out = pairs.filter("ident != old_ident").select(*names, F.lit(True).alias("same_board"))
-        total = 0 if near is None else near.count()
+        # both parts have one slash, so a single edit lies within a rank
+        one = F.levenshtein("board", "old_board", 1) == 1
+        return near.filter("ident != old_ident and board != old_board").filter(one).select(*T.StructType.fromDDL(NEAR_PAIR).names)
+
+    def _candidates(self, pairs: DataFrame) -> DataFrame:
+        """Pairs of different identities of one placement, with the flag of their boards: the same."""
+        return pairs.filter("ident != old_ident").select(*PAIR, F.lit(True).alias("same_board"))
+
+    def _near_candidates(self) -> DataFrame | None:
+        """The pairs one character apart that were found since they were scored last, with their origins; none if there are none."""
+        near = self.pairs.read(self.scored)
+        total = near.count()
         if not total:
-            return out
+            return None
         for p in ("", "old_"):
             wanted = near.select(F.col(f"{p}ident").alias("key")).distinct()
             told = self.stores["ident"].probe(wanted).filter("found").select(F.col("key").alias(f"{p}ident"), *[F.col(f"old_{c}").alias(f"{p}{c}") for c in ORIGIN])
             load = near.groupBy(f"{p}ident").agg(F.count(F.lit(1)).alias("_n"))
             near = hot_join(near, told.join(load, f"{p}ident"), f"{p}ident", "_n", total).drop("_n")
-        return out.unionByName(near.select(*names, F.lit(False).alias("same_board")))
+        return near.select(*PAIR, F.lit(False).alias("same_board"))
+
+    def _score_near(self) -> None:
+        near = self._near_candidates()
+        if near is not None:
+            self.links.add(self._linked(near))
+        self.scored = self.pairs.done
 
     def _linked(self, pairs: DataFrame) -> DataFrame:
         """Links of candidates above the threshold, the larger identity first."""
@@ -282,12 +295,20 @@ class Linker:
             self.stores[name].compact()
         self._commit()
 
-    def start(self, history: DataFrame) -> None:
-        """Take in the accepted records, learning the weights from them."""
+    def start(self, history: DataFrame) -> DataFrame:
+        """Take in the accepted records, learning the weights from them; gives (rec_id, ident) of those with an identity."""
+        history = session.cut(history, "link-history")
         ids = session.cut(_identities(history, repeats=True), "link-ids")
+        shown = session.cut(history.filter("ident is not null").select("rec_id", "ident"), "link-records")
+        session.release(history)
         pairs, near = self._flush(ids, ids, ids.count(), level=1)
-        near = session.cut(near, "link-near") if self.near else None
-        pairs = session.cut(self._candidates(pairs, near), "link-pairs")
+        pairs = self._candidates(pairs)
+        if self.near:
+            self.pairs.add(near)
+            near = self._near_candidates()
+            pairs = pairs.unionByName(near) if near is not None else pairs
+            self.scored = self.pairs.done
+        pairs = session.cut(pairs, "link-pairs")
         flags = _agreement(F.col("same_board"))
         counted = [(tuple(r[f] for f in FIELDS), r.c) for r in pairs.groupBy(*[flags[f].alias(f) for f in FIELDS]).agg(F.count(F.lit(1)).alias("c")).collect()]
         every = sum(c for _, c in counted)
@@ -301,8 +322,9 @@ class Linker:
         self.weights = learn_weights(counted, u, [(repeats[2 * k], repeats[2 * k + 1]) for k in range(len(ORIGIN))])
         self.links.add(self._linked(pairs))
         self._close_round()
-        for df in (ids, near, pairs):
+        for df in (ids, pairs):
             session.release(df)
+        return shown
 
     def add(self, batch: DataFrame, known: Rounds) -> None:
         """One batch; ``known`` gets KNOWN of its identities."""
@@ -321,14 +343,14 @@ class Linker:
         near = self._apart(self.stores["near"].probe(self._near_rows(shown)).filter("found")) if self.near else None
         pairs, within = self._flush(fresh, shown, about=count)
         if self.near:
-            near = session.cut(near.unionByName(within), "link-near")
+            self.pairs.add(near.unionByName(within))
         pairs = hits.join(there, "ident", "left_anti").select(*pairs.columns).unionByName(pairs)
-        self.links.add(self._linked(self._candidates(pairs, near)))
+        self.links.add(self._linked(self._candidates(pairs)))
         earlier = F.col("old_first") < F.col("first")
         first = [F.when(earlier, F.col(f"old_{c}")).otherwise(F.col(c)).alias(c) for c in ("first", "state", *ORIGIN)]
         known.add(named.select("ident", "n", *first))
         self._close_round()
-        for df in (seen, hits, near):
+        for df in (seen, hits):
             session.release(df)
 
     def repeats(self, records: DataFrame, firsts: DataFrame, total: int) -> DataFrame:
@@ -357,7 +379,11 @@ class Linker:
             at = session.cut(at.join(up, at.root == up.key, "left").select("node", F.coalesce("up", "root").alias("root")), "reps-at")
 
     def merge(self) -> None:
-        """Union-find over the links that were made since the last merge: only the clusters they touch are updated."""
+        """Union-find over the links that were made since the last merge: only the clusters they touch are updated.
+
+        The near pairs of the rounds since are scored first, all at once.
+        """
+        self._score_near()
         if self.merged == self.links.done:
             return
         edges = self.links.read(self.merged).select("ident", "rep").distinct()
@@ -438,13 +464,12 @@ def link(
     the history and ``history`` is not read.
     """
     spark = batches.sparkSession
-    batches = session.cut(batches.filter("ident is not null"), "link-batches")
+    # cut before the filter, for which the texts would be read twice
+    batches = session.cut(batches, "link-batches").filter("ident is not null")
     linker = Linker(spark, path or session.new_path(spark, "linker"), rows_per_file, threshold, near)
     shown = batches.select("rec_id", "ident")
     if linker.state_is_new:
-        old = session.cut(history, "link-history")
-        linker.start(old)
-        shown = old.filter("ident is not null").select("rec_id", "ident").unionByName(shown)
+        shown = linker.start(history).unionByName(shown)
     known = Rounds(spark, session.new_path(spark, "link-rounds"), KNOWN)
     for low, high in rounds(batches, flush_batches):
         linker.add(batches.filter(F.col("rec_id").between(low, high)), known)

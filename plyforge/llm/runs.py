@@ -252,8 +252,8 @@ class RunStore:
 
     def _sorted(self, keyed: DataFrame, parts: int) -> DataFrame:
         """With h, each range of h in a task of its own, sorted."""
-        keyed = keyed.withColumn("h", hash32(F.col("key")))
-        return keyed.repartitionById(parts, _place(F.col("h"), parts)).sortWithinPartitions("h", "key")
+        h = hash32(F.col("key"))  # made anew after the shuffle rather than sent
+        return keyed.repartitionById(parts, _place(h, parts)).withColumn("h", h).sortWithinPartitions("h", "key")
 
     def _write(self, rows: DataFrame, count: int) -> Run:
         self.made += 1

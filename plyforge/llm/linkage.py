@@ -41,14 +41,14 @@ import math
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plyforge import session
 from plyforge.functions import keys
-from plyforge.functions.position import usual_text
+from plyforge.functions.position import squares, usual_parts
 from plyforge.llm.runs import Rounds, RunStore, rounds
 from plyforge.llm.union_find import components
 from plyforge.operators.skew import hot_join
@@ -57,7 +57,6 @@ from plyforge.operators.skew import hot_join
 SHOWN, ORIGIN = ("board", "side", "castling", "ep"), ("game", "ply", "dump")
 FIELDS = SHOWN + ORIGIN
 RECORD = "rec_id bigint, batch_no int, ident bigint, place bigint, board string, state string, game int, ply smallint, dump int"
-_DOTS = str.maketrans({str(n): "." * n for n in range(1, 9)})
 _TOLD = "state string, game int, ply smallint, dump int"
 #: Of each identity of a round: its records there, and the first record, of before if there is one.
 KNOWN = f"ident bigint, n bigint, first bigint, {_TOLD}"
@@ -75,22 +74,26 @@ def _shown(near: bool):
     written where it has eight ranks and a side.
     """
 
-    @F.pandas_udf(T.StructType().add("ident", T.LongType()).add("place", T.LongType()).add("board", T.StringType()).add("state", T.StringType()))
-    def shown(fen: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in fen:
-            usual = usual_text(text)
-            if usual is not None:
-                placement, _, state = usual.partition(" ")
-                rows.append((keys.digest64(usual), keys.digest64(placement), placement.translate(_DOTS) if near else None, state))
-                continue
-            part = [] if text is None or not near else text.replace("_", " ").split()
+    @F.arrow_udf(T.StructType().add("ident", T.LongType()).add("place", T.LongType()).add("board", T.StringType()).add("state", T.StringType()))
+    def shown(fen: pa.Array) -> pa.Array:
+        ident, place, boards, states = [], [], [], []
+        for text in fen.to_pylist():
+            usual = usual_parts(text)
             board = state = None
-            if len(part) > 1 and part[0].count("/") == 7 and part[1].lower() in ("w", "b"):
-                board, state = part[0].translate(_DOTS), " ".join([part[1].lower(), *part[2:4]])
-            rows.append((None if text is None else keys.digest64(" ".join(text.split(" ")[:4])), None, board, state))
-        ident, place, board, state = zip(*rows) if rows else ((), (), (), ())
-        return pd.DataFrame({"ident": pd.array(ident, "Int64"), "place": pd.array(place, "Int64"), "board": pd.Series(board, dtype=object), "state": pd.Series(state, dtype=object)})
+            if usual is not None:
+                placement, board, state = usual
+                ident.append(keys.digest64(f"{placement} {state}"))
+                place.append(keys.digest64(placement))
+            else:
+                part = [] if text is None or not near else text.replace("_", " ").split()
+                if len(part) > 1 and part[0].count("/") == 7 and part[1].lower() in ("w", "b"):
+                    board, state = squares(part[0]), " ".join([part[1].lower(), *part[2:4]])
+                ident.append(None if text is None else keys.digest64(" ".join(text.split(" ")[:4])))
+                place.append(None)
+            boards.append(board if near else None)
+            states.append(state)
+        columns = [pa.array(ident, pa.int64()), pa.array(place, pa.int64()), pa.array(boards, pa.string()), pa.array(states, pa.string())]
+        return pa.StructArray.from_arrays(columns, names=["ident", "place", "board", "state"])
 
     return shown
 
@@ -102,12 +105,14 @@ def records(
 
     Without ``near`` the squares, which only near keys need, are null.
     """
+    null = F.lit(None)
     t = table.select(
         "rec_id", batch.cast("int").alias("batch_no"), key.alias("_key"), _shown(near)("fen").alias("s"),
-        (F.when(game.isNotNull(), F.hash(game)) if game is not None else F.lit(None)).cast("int").alias("game"),
-        (F.when(ply >= 0, ply) if ply is not None else F.lit(None)).cast("smallint").alias("ply"),
-        (F.when(dump.isNotNull(), F.hash(dump)) if dump is not None else F.lit(None)).cast("int").alias("dump"),
+        *[(null if c is None else c).alias(f"_{name}") for name, c in zip(ORIGIN, (game, ply, dump))],
     )
+    # selected before they are used twice, for which references would be read twice as often
+    hashed = lambda c: F.when(F.col(c).isNotNull(), F.hash(c))
+    t = t.withColumns({"game": hashed("_game").cast("int"), "ply": F.when(F.col("_ply") >= 0, F.col("_ply")).cast("smallint"), "dump": hashed("_dump").cast("int")})
     return t.select("rec_id", "batch_no", F.coalesce("s.ident", "_key").alias("ident"), "s.place", "s.board", "s.state", "game", "ply", "dump")
 
 
@@ -209,7 +214,7 @@ class Linker:
         state = json.loads(text) if text else {}
         if state and state["near"] != near:
             raise ValueError(f"the linker at {path} was begun with near={state['near']}")
-        options = {"rows_per_file": rows_per_file, "owned": True}
+        options = {"rows_per_file": rows_per_file, "owned": True, "dictionary": ("state", "ply", "dump")}
         self.stores = {
             "ident": RunStore(spark, f"{path}/ident", payload=f"first bigint, {_TOLD}", **options),
             "place": RunStore(spark, f"{path}/place", payload=f"ident bigint, {_TOLD}", **options),

@@ -194,7 +194,8 @@ def _twin_finder(base: str, run: Run, payload: list[str], out: pa.Schema):
 class RunStore:
     """Levelled runs under ``path`` with columns ``payload`` (DDL) beside the key.
 
-    With ``least`` a key's rows are merged in compaction into one with the smallest payload. A store with an ``owner``
+    With ``least`` a key's rows are merged in compaction into one with the smallest payload. With ``dictionary``, the
+    columns that have few values, no dictionaries are tried for the others. A store with an ``owner``
     leaves commits to it: ``state`` is what to keep, and ``clean`` removes the runs that no longer count.
     """
 
@@ -206,6 +207,7 @@ class RunStore:
     block_bytes: int = 1 << 20
     least: bool = False
     owned: bool = False
+    dictionary: tuple[str, ...] | None = None
     levels: list[list[Run]] = field(default_factory=list)
     made: int = 0
     stale: list[str] = field(default_factory=list)
@@ -261,7 +263,10 @@ class RunStore:
         files = max(1, -(-count // self.rows_per_file), min(cores, -(-count // LEAST_ROWS)))
         name = f"run-{self.made:06d}"
         out = self._sorted(rows, files).select("h", "key", *self.schema.names)
-        out.write.mode("overwrite").option("parquet.block.size", self.block_bytes).option("parquet.writer.version", "v2").parquet(f"{self.path}/{name}")
+        options = {"parquet.block.size": self.block_bytes, "parquet.writer.version": "v2"}
+        if self.dictionary is not None:
+            options |= {f"parquet.enable.dictionary#{c}": False for c in out.columns if c not in self.dictionary}
+        out.write.mode("overwrite").options(**options).parquet(f"{self.path}/{name}")
         return Run(name, files, count, self._suffix(name))
 
     def _suffix(self, name: str) -> str:
